@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, ngram_join, packing, quality, suffix, topk
+from tessera.llm import chat, langid, license_scan, ngram_join, packing, pieces, quality, suffix, topk, warc
 from tessera.llm.common import table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least=0).drop("url")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
 
@@ -27,6 +31,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
 
@@ -51,6 +64,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_paths(chat.linear_tree(said.unionByName(probe))))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+                  list_aggregate(list_transform(string_split(hex, ''), lambda c: format('{:04b}', strpos('0123456789abcdef', c) - 1)), 'string_agg', '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER) + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -73,8 +98,8 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op3_best_fit_packing, op6_ngram_jaccard, op7_topk_search, op8_language_id, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_warc_convert, op2_suffix_dedup, op3_best_fit_packing, op4_sentencepiece, op5_license_scan, op6_ngram_jaccard, op7_topk_search, op8_language_id, op9_quality_rules, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": OP7_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_warc_convert": OP1_SQL, "op5_license_scan": license_scan.scan_sql(), "op7_topk_search": OP7_SQL, "op10_chat_format": OP10_SQL}
