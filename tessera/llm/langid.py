@@ -170,3 +170,20 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 def train_split(docs: DataFrame) -> DataFrame:
     """The rows that may teach: those not held out, with a label."""
     return docs.where(~held_out_column() & F.col("lang").isNotNull())
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose language is found with a posterior of ``least`` or more."""
+    tune_arrow(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok: list[np.ndarray] = [np.empty(0, bool)]
+            for block in blocks(b.column("text")):
+                found, score = sent.value.score(block)
+                ok.append((score >= least) & (np.array(found, dtype=object) != "und"))
+            yield pa.RecordBatch.from_arrays(list(b.filter(pa.array(np.concatenate(ok))).columns), names=names)
+
+    return docs.mapInArrow(run, docs.schema)

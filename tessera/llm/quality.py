@@ -152,32 +152,56 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, pattern long"
 
 
+def _measured(column: pa.Array) -> list[np.ndarray]:
+    """Counts, base check and pattern of votes of each text."""
+    parts: list[list[np.ndarray]] = []
+    for block in blocks(column):
+        m = measure(block)
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        parts.append([*(m[c] for c in COUNTS), failed, pattern_of(votes(m))])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0, bool), np.empty(0, np.int64)]
+
+
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` with the counts, the base check and the pattern of votes."""
     tune_arrow(docs.sparkSession)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list[np.ndarray]] = []
-            for block in blocks(b.column("__text")):
-                m = measure(block)
-                failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-                parts.append([*(m[c] for c in COUNTS), failed, pattern_of(votes(m))])
-            flat = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0, bool), np.empty(0, np.int64)]
+            flat = _measured(b.column("__text"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in flat)], names=[*keep, *COUNTS, "base_failed", "pattern"])
 
-    return docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text")).mapInArrow(run, f"{fields}, {FEATURES}")
+    return docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text")).mapInArrow(run, f"{fields}{FEATURES}")
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Columns ``keep`` (doc_id if None), counts, base_failed, posterior and kept of each row."""
-    spark = docs.sparkSession
-    measured = materialize(features(docs, keep or ["doc_id"]), "quality")
+def _verdicts(measured: DataFrame) -> dict[int, float]:
+    """Posterior of each pattern of votes that occurs (3**rules at most)."""
     # texts that fail the base check are told apart already; the rules learn from the others
     seen = measured.where(~F.col("base_failed")).groupBy("pattern").count().toArrow()
     patterns = np.array(seen.column(0).to_pylist(), dtype=np.int64)
     post, _, _ = expectation_maximisation(patterns, np.array(seen.column(1).to_pylist(), dtype=np.int64))
-    verdict = spark.createDataFrame([(int(p), float(x)) for p, x in zip(patterns, post, strict=True)], "pattern long, posterior double")
+    return dict(zip(patterns.tolist(), post.tolist(), strict=True))
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Columns ``keep`` (doc_id if None), counts, base_failed, posterior and kept of each row."""
+    spark = docs.sparkSession
+    measured = materialize(features(docs, keep or ["doc_id"]), "quality")
+    verdict = spark.createDataFrame(sorted(_verdicts(measured).items()), "pattern long, posterior double")
     joined = measured.join(F.broadcast(verdict), "pattern", "left")  # 3**rules rows at most
     return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= threshold)).drop("pattern")
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that are kept, with all columns. Reads the texts twice, and stores none of them."""
+    post = _verdicts(features(docs, []))
+    names = list(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *_, failed, pattern = _measured(b.column("text"))
+            good = np.array([post.get(x, 0.0) >= threshold for x in pattern.tolist()], dtype=bool)
+            yield pa.RecordBatch.from_arrays(list(b.filter(pa.array(~failed & good)).columns), names=names)
+
+    return docs.mapInArrow(run, docs.schema)
