@@ -44,15 +44,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it.
+    """Write ``df`` to the shared folder and return a reader of it; its shuffle files go.
 
     Cuts the lineage: a lost executor costs only its running tasks, and two consumers
     of an expensive Python stage don't compute it twice.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    drop_path(df.sparkSession, df.scratch)
 
 
 def tune_arrow(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesops import Block, blocks, window_hash
-from tessera.llm.common import materialize, partitions, tune_arrow, worker_temp
+from tessera.llm.common import discard, materialize, partitions, tune_arrow, worker_temp
 
 U64 = np.uint64
 CHUNK = 24 << 20  # bytes of strings that a task builds at a time
@@ -201,8 +201,11 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(did[rows]), pa.array(tid[rows]), pa.array(where)], names=["key", "did", "tid", "place"])
 
     found = materialize(keyed.where(F.octet_length("text") >= size).mapInArrow(find, "key long, did long, tid int, place long"), "anchors")
-    again = found.groupBy("key").count().where("count >= 2").select("key")
-    shared = found.join(again, "key").groupBy("did", "tid").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
+    again = materialize(found.groupBy("key").count().where("count >= 2").select("key"), "again")
+    # both sides are dealt by key for this join alone, so that Spark can split a hot key
+    shared = materialize(found.join(again, "key").groupBy("did", "tid").agg(F.collect_list(F.struct("key", "place")).alias("anchors")), "shared")
+    discard(found)
+    discard(again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings around the anchors; equal strings of a task become one with several owners."""
@@ -266,7 +269,9 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
         if rows:
             yield flush(len(rows))
 
-    return strings.mapInArrow(build, _SPAN)
+    out = materialize(strings.mapInArrow(build, _SPAN), "spans")
+    discard(shared)
+    return out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
