@@ -19,7 +19,7 @@ def range_aggregate(df: DataFrame, box: Box, target: str) -> DataFrame:
 def query_table(spark: SparkSession, queries: dict[str, Box], dims: list[str]) -> DataFrame:
     """One row a query: query_id, lo_d and hi_d of each dimension (null where it has none)."""
     rows = [(q, *(float(x) if x is not None else None for d in dims for x in box.get(d, (None, None)))) for q, box in sorted(queries.items())]
-    return spark.createDataFrame(rows, "query_id string, " + ", ".join(f"lo_{d} double, hi_{d} double" for d in dims))
+    return spark.createDataFrame(rows, "query_id string" + "".join(f", lo_{d} double, hi_{d} double" for d in dims))
 
 
 def batch_aggregate(df: DataFrame, queries: dict[str, Box], target: str) -> DataFrame:

@@ -49,7 +49,8 @@ class Synopsis:
     root: tree.Node
     seed: str = "tessera"
     strict: bool = True
-    _known: dict[int, tree.Node] = field(default_factory=dict)
+    stored: str | None = None  # where ranked samples of the leaves are kept
+    kept: dict[int, int] = field(default_factory=dict)  # ranks kept there, by leaf
 
     @property
     def rows(self) -> int:
@@ -83,6 +84,18 @@ class Synopsis:
             raise ValueError("no row without a null: nothing to summarise")
         return cls(df, key, dims, target, leaf, root, seed, strict)
 
+    def store(self, path: str, rate: float) -> Synopsis:
+        """Write each leaf's first rows by rank (as many as any query at ``rate`` can ask of it), a folder
+        a leaf. Queries then read the folders of the leaves that they cut, and not the table."""
+        budget = int(self.rows * rate)
+        self.kept = {int(x.leaf): min(x.cnt, budget) for x in self.root.leaves()}
+        wanted = self.df.sparkSession.createDataFrame(sorted(self.kept.items()), "__leaf int, most long")
+        columns = dict.fromkeys([self.key, *self.dims, self.target])
+        rows = ranked(self.df.select(*columns, self.leaf.alias("__leaf")), self.key, self.seed, wanted, "__leaf")
+        rows.repartition("__leaf", F.floor(F.col("rnk") / 1_000_000)).write.mode("overwrite").partitionBy("__leaf").parquet(path)
+        self.stored = path
+        return self
+
     def check(self) -> bool:
         """The tree agrees with itself and with the table."""
         return tree.verify_layers(self.root) and tree.verify_leaves(self.root, self.df.count())
@@ -165,9 +178,13 @@ class Synopsis:
         for r in rows:
             most[r[1]] = max(most.get(r[1], 0), r[3])
         asked = self._asked(rows, "query_id string, __leaf int, big_n long, n long")
-        wanted = spark.createDataFrame(sorted(most.items()), "__leaf int, most long")
-        data = self.df.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf")).where(F.col("__leaf").isin([int(x) for x in most]) if most else F.lit(False))
-        sample = ranked(data, self.key, self.seed, wanted, "__leaf")
+        cut = F.col("__leaf").isin([int(x) for x in most]) if most else F.lit(False)
+        if self.stored and set(self._dims_of) <= set(self.dims) and all(n <= self.kept.get(int(x), -1) for x, n in most.items()):
+            sample = spark.read.parquet(self.stored).where(cut).where(F.col("rnk") <= max(most.values(), default=0))
+        else:
+            wanted = spark.createDataFrame(sorted(most.items()), "__leaf int, most long")
+            data = self.df.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf")).where(cut)
+            sample = ranked(data, self.key, self.seed, wanted, "__leaf")
         t = F.col(self.target).cast("double")
         hit = sample.join(asked, "__leaf").where((F.col("rnk") <= F.col("n")) & self._inside())
         return hit.groupBy("query_id", "__leaf").agg(F.first("big_n").alias("big_n"), F.first("n").alias("n"), F.count("*").alias("k"), F.sum(t).alias("s"), F.sum(t * t).alias("ss"), F.min(t).alias("least"), F.max(t).alias("most"))

@@ -119,7 +119,11 @@ LINE_BOXES = {"a": {"p": (50, 900), "s": (2, 60)}, "b": {"p": (1, 10**9), "s": (
 
 # exact answers
 
-_SHOWN = {"avg": F.round("avg", 5), "min": F.col("min").cast("double"), "max": F.col("max").cast("double")}
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumns({"avg": F.round("avg", 5), "min": F.col("min").cast("double"), "max": F.col("max").cast("double")})
+
 
 
 @query("SELECT count(*) AS cnt, CAST(coalesce(sum(t), 0) AS BIGINT) AS sum, round(coalesce(avg(t), 0), 5) AS avg, min(t) AS min, max(t) AS max FROM (" + LIN + ") WHERE p BETWEEN 100 AND 900")
@@ -139,7 +143,7 @@ def exact_range_3d(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT count(*) AS cnt, CAST(coalesce(sum(t), 0) AS BIGINT) AS sum, coalesce(avg(t), 0) AS avg, CAST(min(t) AS DOUBLE) AS min, CAST(max(t) AS DOUBLE) AS max FROM (" + ORD + ") WHERE p BETWEEN 1000000000 AND 2000000000")
 def exact_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.range_aggregate(axes.orders(spark, sf), {"p": (10**9, 2 * 10**9)}, "t").withColumns(_SHOWN)
+    return _shown(exact.range_aggregate(axes.orders(spark, sf), {"p": (10**9, 2 * 10**9)}, "t"))
 
 
 def _truth_sql(base: str, boxes: dict[str, iv.Box]) -> str:
@@ -149,12 +153,12 @@ def _truth_sql(base: str, boxes: dict[str, iv.Box]) -> str:
 
 @query(_truth_sql(ORD, ORDER_BOXES))
 def ground_truth_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.batch_aggregate(axes.orders(spark, sf), ORDER_BOXES, "t").withColumns(_SHOWN)
+    return _shown(exact.batch_aggregate(axes.orders(spark, sf), ORDER_BOXES, "t"))
 
 
 @query(_truth_sql(EVT, EVENT_BOXES_2D))
 def ground_truth_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.batch_aggregate(axes.events(spark, sf), EVENT_BOXES_2D, "t").withColumns(_SHOWN)
+    return _shown(exact.batch_aggregate(axes.events(spark, sf), EVENT_BOXES_2D, "t"))
 
 
 # sources
@@ -629,7 +633,7 @@ def every_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_truth_sql(ORD, {"special": {"p": (6597, 6619)}}))
 def special_query(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.batch_aggregate(axes.orders(spark, sf), workload.special_query(), "t").withColumns(_SHOWN)
+    return _shown(exact.batch_aggregate(axes.orders(spark, sf), workload.special_query(), "t"))
 
 
 @query("SELECT query_id, CAST(sum(t) AS BIGINT) AS sum FROM (" + ORD + ") JOIN (VALUES ('a', 100, 900), ('b', 37, 61)) v(query_id, lo, hi) ON p BETWEEN lo AND hi GROUP BY query_id")
