@@ -7,8 +7,8 @@
    Only tokens of the selected range (a little more than a prefix of each set) are counted
    over the corpus. A set whose prefix is full of tokens of its own is linked with nothing.
    A token that is frequent within a batch is sent once, with a mark, in place of its sets.
-3. Sets that share prefix tokens form families (connected components over stars of tokens).
-   A set only has links inside its family.
+3. Sets that share prefix tokens and have compatible sizes form families (connected components
+   over stars of tokens and size classes). A set only has links inside its family.
 4. Each family is joined exactly. A large one is cut into bounded blocks by size class and hash,
    and a task gets one pair of blocks of compatible sizes. In a task the inverted lists are cut
    into blocks by size class, and blocks of other sizes are skipped; the overlaps of a set are
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytesops import Block, blocks, mix, per_text, shingle_hash, span_hash
@@ -76,7 +76,7 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        share = 1 - num / den + 0.05
+        share = 1 - num / den + 0.25
         self.limit = U64(min(1.0, share) * (2**64 - 2**11))  # of the selected hash range
 
     def prefix(self, size: np.ndarray) -> np.ndarray:
@@ -85,6 +85,9 @@ class Threshold:
     def linked(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * overlap >= self.num * (a + b - overlap)
 
+    def band_column(self, size: str) -> Column:
+        return F.floor(F.log(size) / F.lit(math.log(self.den / self.num)) + F.lit(1e-9)).cast("long")
+
     def band(self, size: np.ndarray) -> np.ndarray:
         """Size class; linked sets are in the same or in neighbouring classes."""
         return np.floor(np.log(np.maximum(size, 1)) / math.log(self.den / self.num) + 1e-9).astype(np.int64)
@@ -199,7 +202,9 @@ def _prefix_tokens(docs: DataFrame, n: int, at: Threshold, sets: DataFrame) -> D
                 token, owner = np.concatenate((token, marks)), np.concatenate((owner, np.zeros(len(marks), np.int64)))
             order = np.argsort(bucket, kind="stable")
             token, owner, kind, bucket = token[order], owner[order], kind[order], bucket[order]
-            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+            if not len(bucket):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             last = [*first[1:], len(bucket)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[i]) for i in first], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()) for x in (token, owner, kind))],
@@ -243,12 +248,8 @@ def _prefix_tokens(docs: DataFrame, n: int, at: Threshold, sets: DataFrame) -> D
     return first.select("sid", F.explode(F.slice("told", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.token").alias("token"), "sid")
 
 
-def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of each row, for Jaccard >= num / den.
-
-    ``component_id`` is the smallest doc_id reachable by links; ``n_links`` counts the rows that a
-    row is linked with itself.
-    """
+def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their set ids; sets with root, component_id and n_links."""
     spark = docs.sparkSession
     tune_arrow(spark)
     at = Threshold(num, den)
@@ -258,8 +259,7 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     )
     sets = materialize(sets, "sets")
     prefixes = materialize(_prefix_tokens(docs, n, at, sets), "prefixes")
-    leaders = prefixes.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead != most").select("token", "lead")
-    stars = prefixes.join(leaders, "token").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+    stars = _stars(prefixes, sets, at)
     families = components(stars)
     members = materialize(families.join(sets, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("family"), "weight", "n_shingles", "rep"), "members")
     tasks = _tasks(members, at)
@@ -322,18 +322,53 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     counts = answers.groupBy("sid").agg(F.sum("n_links").alias("others"))
     grouped = sets.select("sid", "least", "weight").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_set = grouped.join(least, "root").join(counts, "sid", "left").select("sid", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(per_set, "sid", "left")
+    per_set = grouped.join(least, "root").join(counts, "sid", "left").select("sid", "root", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows, per_set
+
+
+def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row, for Jaccard >= num / den.
+
+    ``component_id`` is the smallest doc_id reachable by links; ``n_links`` counts the rows that a
+    row is linked with itself.
+    """
+    rows, per_set = _resolve(docs, n, num, den)
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(per_set.drop("root"), "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _stars(prefixes: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
+    """Edges (a, b) that hold together the sets of a token, where sizes allow a link: each set and the
+    leader of its size class, and leaders of neighbouring classes."""
+    held = prefixes.join(sets.select("sid", at.band_column("n_shingles").alias("band")), "sid")
+    leaders = held.groupBy("token", "band").agg(F.min("sid").alias("lead"))
+    near = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("lead").alias("under"))
+    between = leaders.join(near, ["token", "band"]).select(F.col("lead").alias("a"), F.col("under").alias("b"))
+    several = held.groupBy("token", "band").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead != most").select("token", "band", "lead")
+    return held.join(several, ["token", "band"]).select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(between)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, with all columns, of which one stays of each component (the smallest id; of equal
+    rows one). Rows without words stay."""
+    rows, per_set = _resolve(docs, n, num, den)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "did", "tid"))
+    first = rows.where("n_shingles > 0").join(per_set.select("sid", "root"), "sid").groupBy("root").agg(least.alias("x"))
+    stay = first.select("x.did", "x.tid", F.lit(True).alias("once")).unionByName(rows.where("n_shingles = 0").select("did", "tid").distinct().withColumn("once", F.lit(False)))
+    did, tid = row_keys()
+    others = [F.col(c) for c in docs.columns]
+    kept = docs.select(did, tid, F.struct(*others).alias("row")).join(stay, ["did", "tid"])
+    again = F.row_number().over(Window.partitionBy("did", "tid").orderBy("once"))
+    return kept.withColumn("again", again).where(~F.col("once") | (F.col("again") == 1)).select("row.*")
+
+
 def _tasks(members: DataFrame, at: Threshold) -> DataFrame:
     """(task, sid, side): where each set is joined. A family under the bound is one task; a larger
     one has a task for each pair of blocks of the same or neighbouring size classes."""
     total = members.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1")
     sized = members.join(total, "family")
     small = sized.where(F.col("total") <= FAMILY_TOKENS).select(F.concat_ws(":", F.col("family").cast("string"), F.lit("all")).alias("task"), "sid", F.lit(0).alias("side"))
-    large = sized.where(F.col("total") > FAMILY_TOKENS).select("family", "sid", "n_shingles", F.floor(F.log("n_shingles") / F.lit(math.log(at.den / at.num)) + F.lit(1e-9)).cast("long").alias("band"))
+    large = sized.where(F.col("total") > FAMILY_TOKENS).select("family", "sid", "n_shingles", at.band_column("n_shingles").alias("band"))
     cells = large.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / F.lit(FAMILY_TOKENS // 2))).cast("int").alias("salts"))
     up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
     under = cells.select("family", (F.col("band") + 1).alias("band"), F.col("salts").alias("below"))
