@@ -118,7 +118,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0] : edges[-1]], edges - edges[0]
 
 
-def blocks(column: pa.Array, most: int = 2 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array, most: int = 1 << 19) -> Iterator[Block]:
     """Whole texts in runs of about ``most`` bytes (more where one text has more)."""
     buf, edges = utf8(column)
     i, n = 0, len(edges) - 1

@@ -6,31 +6,33 @@ splits); a node's neighbours are never gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
-def _finger(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written; their number and a sum of hashes, observed while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return out, tuple(seen.get.values())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b); root is the component's smallest node."""
-    edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = _finger(edges)
+    edges, last = _stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while last[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialize(large, "large")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(near.unionByName(down.withColumnRenamed("m", "b")).where("a != b").distinct(), "edges")
-        now = _finger(edges)
+        new, now = _stored(near.unionByName(down.withColumnRenamed("m", "b")).where("a != b").distinct())
+        discard(edges)
+        edges = new
         if now == last:
             break
         last = now
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(roots.select("node"), "node", "left_anti"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

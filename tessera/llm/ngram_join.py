@@ -38,7 +38,8 @@ from tessera.llm.suffix import row_keys
 
 U64 = np.uint64
 HOT = 64
-FAMILY_TOKENS = 1_500_000  # tokens in a block
+FAMILY_TOKENS = 1_500_000  # tokens of a task's sets
+WHOLE = ":whole"  # ends the name of a task that has all of its family
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def _measure(docs: DataFrame, n: int, at: Threshold) -> DataFrame:
 
 
 def _prefix_tokens(docs: DataFrame, n: int, at: Threshold, sets: DataFrame) -> DataFrame:
-    """(token, sid): the prefix tokens of each set that other sets have, too."""
+    """(token, sid, band): the prefix tokens of each set that other sets have, too."""
     spark = docs.sparkSession
     buckets = partitions(spark)
 
@@ -244,8 +245,8 @@ def _prefix_tokens(docs: DataFrame, n: int, at: Threshold, sets: DataFrame) -> D
     told = packed.repartition(buckets, "bucket").mapInArrow(shared, "sid long, rarity int, token long")
     per_set = told.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("rarity", "token"))).alias("told"))
     room = F.expr(f"n_shingles - (({at.num} * n_shingles + {at.den - 1}) div {at.den}) + 1 - (n_chosen - size(filter(told, x -> x.rarity < 3)))").cast("int")
-    first = per_set.join(sets, "sid").withColumn("room", room).where("room > 0")
-    return first.select("sid", F.explode(F.slice("told", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.token").alias("token"), "sid")
+    first = per_set.join(sets, "sid").withColumns({"room": room, "band": at.band_column("n_shingles")}).where("room > 0")
+    return first.select("sid", "band", F.explode(F.slice("told", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.token").alias("token"), "sid", "band")
 
 
 def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -259,13 +260,20 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     )
     sets = materialize(sets, "sets")
     prefixes = materialize(_prefix_tokens(docs, n, at, sets), "prefixes")
-    stars = _stars(prefixes, sets, at)
+    stars = _stars(prefixes)
     families = components(stars)
     members = materialize(families.join(sets, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("family"), "weight", "n_shingles", "rep"), "members")
-    tasks = _tasks(members, at)
+    totals = materialize(members.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals")
+    several = members.join(totals.select("family", "total"), "family")
+    alone = F.array(F.struct(F.concat(F.col("family").cast("string"), F.lit(WHOLE)).alias("task"), F.lit(0).alias("side")))
+    wanted = several.where(F.col("total") <= FAMILY_TOKENS).select("sid", "weight", "rep", alone.alias("tasks"))
+    any_large = bool(totals.where(F.col("total") > FAMILY_TOKENS).head(1))
+    if any_large:
+        tasks = _tasks(several.where(F.col("total") > FAMILY_TOKENS), at)
+        cut = members.join(tasks, "sid").groupBy("sid").agg(F.first("weight").alias("weight"), F.first("rep").alias("rep"), F.collect_list(F.struct("task", "side")).alias("tasks"))
+        wanted = wanted.unionByName(cut)
     did, tid = row_keys()
     texts = docs.select(did, tid, F.coalesce("text", F.lit("")).alias("text"))
-    wanted = members.join(tasks, "sid").groupBy("sid").agg(F.first("weight").alias("weight"), F.first("rep").alias("rep"), F.collect_list(F.struct("task", "side")).alias("tasks"))
     full = wanted.select("sid", "weight", "tasks", F.col("rep.did").alias("did"), F.col("rep.tid").alias("tid")).join(texts, ["did", "tid"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +311,8 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
                     a, b = find(i), find(j)
                     if a != b:
                         root[a] = b
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[find(i)] for i in range(len(ids))], pa.int64()), pa.array(links, pa.int64())], names=["sid", "lead", "n_links"])
+            roots = [ids[find(i)] for i in range(len(ids))]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(links, pa.int64()), pa.array([task.endswith(WHOLE)] * len(ids))], names=["sid", "lead", "n_links", "whole"])
 
         for b in batches:
             for row in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
@@ -317,12 +326,16 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
 
     tokens = full.select("sid", "weight", "text", "tasks").mapInArrow(to_sets, "sid long, weight long, tasks array<struct<task:string,side:int>>, tokens binary")
     placed = tokens.select("sid", "weight", "tokens", F.explode("tasks").alias("at")).select("at.task", "sid", "weight", "tokens", "at.side").repartition(partitions(spark), "task").sortWithinPartitions("task")
-    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long"), "answers")
-    linked = components(answers.select(F.col("sid").alias("a"), F.col("lead").alias("b")))
-    counts = answers.groupBy("sid").agg(F.sum("n_links").alias("others"))
-    grouped = sets.select("sid", "least", "weight").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long, whole boolean"), "answers")
+    # a family that one task has joined needs no more than that task's roots
+    linked = answers.where("whole").select("sid", F.col("lead").alias("root"), F.col("n_links").alias("others"))
+    if any_large:
+        pairs = answers.where("not whole")
+        roots = components(pairs.select(F.col("sid").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("sid"), "root")
+        linked = linked.unionByName(pairs.groupBy("sid").agg(F.sum("n_links").alias("others")).join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "others"))
+    grouped = sets.select("sid", "least", "weight").join(linked, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_set = grouped.join(least, "root").join(counts, "sid", "left").select("sid", "root", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    per_set = grouped.join(least, "root").select("sid", "root", "component_id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return rows, per_set
 
 
@@ -337,15 +350,14 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _stars(prefixes: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
+def _stars(prefixes: DataFrame) -> DataFrame:
     """Edges (a, b) that hold together the sets of a token, where sizes allow a link: each set and the
     leader of its size class, and leaders of neighbouring classes."""
-    held = prefixes.join(sets.select("sid", at.band_column("n_shingles").alias("band")), "sid")
-    leaders = held.groupBy("token", "band").agg(F.min("sid").alias("lead"))
+    leaders = materialize(prefixes.groupBy("token", "band").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")), "leaders")
     near = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("lead").alias("under"))
     between = leaders.join(near, ["token", "band"]).select(F.col("lead").alias("a"), F.col("under").alias("b"))
-    several = held.groupBy("token", "band").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")).where("lead != most").select("token", "band", "lead")
-    return held.join(several, ["token", "band"]).select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(between)
+    several = leaders.where("lead != most").select("token", "band", "lead")
+    return prefixes.join(several, ["token", "band"]).select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(between)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -363,12 +375,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def _tasks(members: DataFrame, at: Threshold) -> DataFrame:
-    """(task, sid, side): where each set is joined. A family under the bound is one task; a larger
-    one has a task for each pair of blocks of the same or neighbouring size classes."""
-    total = members.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1")
-    sized = members.join(total, "family")
-    small = sized.where(F.col("total") <= FAMILY_TOKENS).select(F.concat_ws(":", F.col("family").cast("string"), F.lit("all")).alias("task"), "sid", F.lit(0).alias("side"))
-    large = sized.where(F.col("total") > FAMILY_TOKENS).select("family", "sid", "n_shingles", at.band_column("n_shingles").alias("band"))
+    """(task, sid, side): where each set of a large family is joined: a task for each pair of blocks of
+    the same or neighbouring size classes."""
+    large = members.select("family", "sid", "n_shingles", at.band_column("n_shingles").alias("band"))
     cells = large.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / F.lit(FAMILY_TOKENS // 2))).cast("int").alias("salts"))
     up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
     under = cells.select("family", (F.col("band") + 1).alias("band"), F.col("salts").alias("below"))
@@ -381,4 +390,4 @@ def _tasks(members: DataFrame, at: Threshold) -> DataFrame:
     )
     lower = own.where("above is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("j")).select(name(band, salt, band + 1, F.col("j")).alias("task"), "sid", F.lit(0).alias("side"))
     upper = own.where("below is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("below") - 1)).alias("j")).select(name(band - 1, F.col("j"), band, salt).alias("task"), "sid", F.lit(1).alias("side"))
-    return small.unionByName(same).unionByName(lower).unionByName(upper)
+    return same.unionByName(lower).unionByName(upper)
