@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.runtime import ship
 
+ROWS_PER_FILE, LEAST_FILES = 4000, 8  # of small tables between two steps
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; any store that Spark reads will do."""
@@ -43,18 +46,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it; its shuffle files go.
 
     Cuts the lineage: a lost executor costs only its running tasks, and two consumers
-    of an expensive Python stage don't compute it twice.
+    of an expensive Python stage don't compute it twice. ``rows``, if known, is about how many rows
+    there are, so that a small table doesn't become a file per shuffle partition. The reader's
+    ``rows`` is how many there were.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = scratch_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    path, seen = scratch_path(spark, label), Observation()
+    made = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    if rows is not None:
+        made = made.coalesce(min(partitions(spark), max(LEAST_FILES, -(-rows // ROWS_PER_FILE))))
+    made.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
+    out.scratch, out.rows = path, seen.get["n"]
     return out
 
 
@@ -66,8 +74,8 @@ def discard(df: DataFrame) -> None:
 def tune_arrow(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, by rows and by bytes; send them the code."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

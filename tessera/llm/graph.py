@@ -12,23 +12,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import discard, materialize
 
 
-def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _stored(edges: DataFrame, rows: int | None) -> tuple[DataFrame, tuple]:
     """The edges, written; their number and a sum of hashes, observed while they are written."""
     seen = Observation()
-    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges", rows)
     return out, tuple(seen.get.values())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node on an edge (a, b); root is the component's smallest node."""
-    edges, last = _stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) of every node on an edge (a, b); root is the component's smallest node.
+
+    ``rows``: about how many edges there are, if known.
+    """
+    edges, last = _stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
     while last[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new, now = _stored(near.unionByName(down.withColumnRenamed("m", "b")).where("a != b").distinct())
+        new, now = _stored(near.unionByName(down.withColumnRenamed("m", "b")).where("a != b").distinct(), last[0])
         discard(edges)
         edges = new
         if now == last:

@@ -258,12 +258,12 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
     sets = rows.where("n_shingles > 0").groupBy("sid").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("n_chosen").alias("n_chosen"), F.min(F.struct("did", "tid")).alias("rep")
     )
-    sets = materialize(sets, "sets")
-    prefixes = materialize(_prefix_tokens(docs, n, at, sets), "prefixes")
+    sets = materialize(sets, "sets", rows.rows)
+    prefixes = materialize(_prefix_tokens(docs, n, at, sets), "prefixes", rows.rows)
     stars = _stars(prefixes)
-    families = components(stars)
-    members = materialize(families.join(sets, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("family"), "weight", "n_shingles", "rep"), "members")
-    totals = materialize(members.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals")
+    families = components(stars, prefixes.rows // 8)
+    members = materialize(families.join(sets, F.col("node") == F.col("sid")).select("sid", F.col("root").alias("family"), "weight", "n_shingles", "rep"), "members", rows.rows)
+    totals = materialize(members.groupBy("family").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n")).where("n > 1"), "totals", members.rows)
     several = members.join(totals.select("family", "total"), "family")
     alone = F.array(F.struct(F.concat(F.col("family").cast("string"), F.lit(WHOLE)).alias("task"), F.lit(0).alias("side")))
     wanted = several.where(F.col("total") <= FAMILY_TOKENS).select("sid", "weight", "rep", alone.alias("tasks"))
@@ -326,7 +326,7 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
 
     tokens = full.select("sid", "weight", "text", "tasks").mapInArrow(to_sets, "sid long, weight long, tasks array<struct<task:string,side:int>>, tokens binary")
     placed = tokens.select("sid", "weight", "tokens", F.explode("tasks").alias("at")).select("at.task", "sid", "weight", "tokens", "at.side").repartition(partitions(spark), "task").sortWithinPartitions("task")
-    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long, whole boolean"), "answers")
+    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long, whole boolean"), "answers", 20 * members.rows)
     # a family that one task has joined needs no more than that task's roots
     linked = answers.where("whole").select("sid", F.col("lead").alias("root"), F.col("n_links").alias("others"))
     if any_large:
@@ -353,7 +353,7 @@ def ngram_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100)
 def _stars(prefixes: DataFrame) -> DataFrame:
     """Edges (a, b) that hold together the sets of a token, where sizes allow a link: each set and the
     leader of its size class, and leaders of neighbouring classes."""
-    leaders = materialize(prefixes.groupBy("token", "band").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")), "leaders")
+    leaders = materialize(prefixes.groupBy("token", "band").agg(F.min("sid").alias("lead"), F.max("sid").alias("most")), "leaders", prefixes.rows // 8)
     near = leaders.select("token", (F.col("band") + 1).alias("band"), F.col("lead").alias("under"))
     between = leaders.join(near, ["token", "band"]).select(F.col("lead").alias("a"), F.col("under").alias("b"))
     several = leaders.where("lead != most").select("token", "band", "lead")
