@@ -6,7 +6,7 @@ Training counts n-grams over a bounded, documented sample of the labelled rows (
 whatever the size of the corpus. Scoring reads every whole text in batches in numpy.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any
-training row every text is ``und``; null labels teach nothing; repeated rows count as often as
+training row every text is ``und``; null labels teach nothing; a null id is not held out; repeated rows count as often as
 they occur; further columns are ignored. The score is the posterior probability of the winner;
 ties go to the smaller label.
 """
@@ -82,7 +82,7 @@ def held_out(doc_id) -> bool:
 
 
 def held_out_column(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 @dataclass

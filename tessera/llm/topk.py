@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tune_arrow
+from tessera.llm.common import materialize, tune_arrow
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -172,8 +172,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, bloc
             out = [(int(ids[q]), -i, s) for q, kept_q in enumerate(best.kept) for s, i in kept_q]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, SCHEMA)
+        one = rows.mapInArrow(run, SCHEMA).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        part = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if passes > 1:  # each pass is done before the next one's queries are sent
+            part = materialize(part, "topk", len(ids) * k)
         found = part if found is None else found.unionByName(part)
-    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
