@@ -7,8 +7,9 @@ need as many rounds as the longest has bytes, so they are first cut into strings
 that keep every comparison that matters: each window of ``size`` bytes belongs to its anchor, the
 least-hashed ``size // 2`` bytes inside it (leftmost on ties). Equal windows have equal anchors at
 equal offsets, so only strings of one anchor, aligned at it, need to be compared, and a string is at
-most 1.5 times ``size`` long. Anchors that occur once are left out by a count over the corpus.
-Hashes only bring strings together; what is removed is decided by the common prefixes.
+most 1.5 times ``size`` long. Anchors that occur once are left out by a count over the corpus, and
+equal strings (64-bit hashes of anchor and string) are built once, with a weight. Otherwise hashes
+only bring strings together; what is removed is decided by the common prefixes.
 
 Defined results: a null text is empty; empty and short texts lose nothing; a repeated row is a
 repetition of its text; ids may be null or repeated; an empty table gives no rows; very long texts
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytesops import Block, blocks, window_hash
+from tessera.llm.bytesops import Block, blocks, mix, span_hash, window_hash
 from tessera.llm.common import discard, materialize, partitions, tune_arrow, worker_temp
 
 U64 = np.uint64
 CHUNK = 24 << 20  # bytes of strings that a task builds at a time
+HOT_STRINGS = 20_000  # different strings around one anchor, beyond which it is divided
+STEPS = (16, 1)  # window starts of the shorter strings it is divided into
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -48,20 +51,22 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(block: Block, size: int) -> tuple[np.ndarray, ...]:
-    """Of each anchor of each text: key, text index, anchor, first and last window start.
+    """Of each anchor of each text: key, hash of its whole string and the anchor's place in it, text
+    index, anchor, first and last window start.
 
     Positions are relative to the text.
     """
     gram = size // 2
     w = size - gram + 1
-    h = window_hash(block.prefix(), gram)
+    prefix = block.prefix()
+    h = window_hash(prefix, gram)
     ranked = ((h >> U64(32)) << U64(32)) | np.arange(len(h), dtype=U64)
     at = (_sliding_min(ranked, w) & U64(0xFFFFFFFF)).astype(np.int64)
     lengths = np.diff(block.edges)
     long = np.flatnonzero(lengths >= size)
     if not len(long):
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     counts = lengths[long] - size + 1
     text = np.repeat(long, counts)
     begin = block.edges[long]
@@ -72,7 +77,8 @@ def anchors(block: Block, size: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(p)])) - 1
     base = block.edges[text[first]]
-    return h[a[first]].view(np.int64), text[first], a[first] - base, p[first] - base, p[last] - base
+    content = mix(span_hash(prefix, p[first], p[last] + size) ^ (a[first] - p[first]).astype(U64))
+    return h[a[first]].view(np.int64), content.view(np.int64), text[first], a[first] - base, p[first] - base, p[last] - base
 
 
 class Columns:
@@ -182,11 +188,16 @@ def row_keys() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("did"), F.hash(text).alias("tid")
 
 
-_SPAN = "did long, tid int, start int, stop int"
+_STRING = "key long, content long, left int, weight long, body binary"
+_RANGE = "key long, content long, start int, stop int"
 
 
 def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
-    """(did, tid, start, stop): byte ranges covered by windows that also start elsewhere."""
+    """(did, tid, start, stop): byte ranges covered by windows that also start elsewhere.
+
+    Equal strings of an anchor are counted before any text moves: one of them is built, with the
+    count as its weight, and its ranges go back to all.
+    """
     spark = docs.sparkSession
     tune_arrow(spark)
     keyed = docs.select(*row_keys(), F.coalesce("text", F.lit("")).alias("text"))
@@ -194,84 +205,119 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, tid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for block in blocks(b.column(2), 1 << 20):
-                key, text, a, first, last = anchors(block, size)
+            for block in blocks(b.column(2)):
+                key, content, text, a, first, last = anchors(block, size)
                 where = (first << 24) | ((last - first) << 12) | (a - first)
                 rows = text + block.first
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(did[rows]), pa.array(tid[rows]), pa.array(where)], names=["key", "did", "tid", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(did[rows]), pa.array(tid[rows]), pa.array(where)], names=["key", "content", "did", "tid", "place"])
 
-    found = materialize(keyed.where(F.octet_length("text") >= size).mapInArrow(find, "key long, did long, tid int, place long"), "anchors")
-    again = materialize(found.groupBy("key").count().where("count >= 2").select("key"), "again")
+    found = materialize(keyed.where(F.octet_length("text") >= size).mapInArrow(find, "key long, content long, did long, tid int, place long"), "anchors")
+    again = materialize(found.groupBy("key").count().where("count >= 2").select("key"), "again", found.rows // 8)
     # both sides are dealt by key for this join alone, so that Spark can split a hot key
-    shared = materialize(found.join(again, "key").groupBy("did", "tid").agg(F.collect_list(F.struct("key", "place")).alias("anchors")), "shared")
+    shared = materialize(found.join(again, "key"), "shared", found.rows // 8)
     discard(found)
     discard(again)
+    strings = materialize(shared.groupBy("key", "content").agg(F.count("*").alias("weight"), F.min(F.struct("did", "tid", "place")).alias("rep")), "strings", shared.rows)
+    wanted = strings.groupBy("rep.did", "rep.tid").agg(F.collect_list(F.struct("key", "content", "weight", "rep.place")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings around the anchors; equal strings of a task become one with several owners."""
-        held: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
-        weight = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = list(held)
-            owners = [[{"did": d, "tid": t, "at": p} for d, t, p in held[k]] for k in keys]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array(owners, pa.list_(pa.struct([("did", pa.int64()), ("tid", pa.int32()), ("at", pa.int32())])))],
-                names=["key", "left", "body", "owners"],
-            )
-            held.clear()
-            return out
-
         for b in batches:
             for i in range(b.num_rows):
-                did, tid = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                data = b.column(2)[i].as_py().encode()
-                items = b.column(3)[i].values
-                for key, place in zip(items.field(0).to_numpy().tolist(), items.field(1).to_numpy().tolist(), strict=True):
-                    first, span, left = place >> 24, (place >> 12) & 0xFFF, place & 0xFFF
-                    body = data[first : first + span + size]
-                    held.setdefault((key, left, body), []).append((did, tid, first))
-                    weight += len(body) + 100
-                if weight > CHUNK:
-                    yield flush()
-                    weight = 0
-        if held:
-            yield flush()
+                data = b.column(0)[i].as_py().encode()
+                items = b.column(1)[i].values
+                place = items.field(3).to_numpy()
+                first, span, left = place >> 24, (place >> 12) & 0xFFF, place & 0xFFF
+                bodies = [data[f : f + n + size] for f, n in zip(first.tolist(), span.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([items.field(0), items.field(1), pa.array(left, pa.int32()), items.field(2), pa.array(bodies, pa.binary())], names=["key", "content", "left", "weight", "body"])
+
+    pieces = keyed.join(wanted, ["did", "tid"]).select("text", "wanted").mapInArrow(cut, _STRING)
+    ranges = _repeated_ranges(pieces, strings, size, STEPS)
+    back = shared.join(ranges, ["key", "content"])
+    first = F.shiftright("place", 24).cast("int")
+    out = materialize(back.select("did", "tid", (first + F.col("start")).alias("start"), (first + F.col("stop")).alias("stop")), "spans", shared.rows)
+    for gone in (shared, strings, ranges):
+        discard(gone)
+    return out
+
+
+def _repeated_ranges(strings: DataFrame, index: DataFrame, size: int, steps: tuple[int, ...]) -> DataFrame:
+    """(key, content, start, stop): ranges of each string that repeated windows cover.
+
+    ``index`` has the (key, content) of all ``strings``. An anchor with more than ``HOT_STRINGS``
+    different strings is no single task's: its strings are cut again into shorter ones that share
+    more than the anchor (``_finer``), down to single windows.
+    """
+    hot = index.groupBy("key").count().where(F.col("count") > HOT_STRINGS).select("key")
+    if not steps or not hot.head(1):
+        return materialize(_build(strings, size), "ranges", 4 * index.rows)
+    kept = materialize(strings, "bodies")
+    hot = materialize(hot, "hot", index.rows // HOT_STRINGS)
+    plain = _build(kept.join(hot, "key", "left_anti"), size)
+    finer = materialize(_finer(kept.join(hot, "key"), size, steps[0]), "finer")
+    several = finer.groupBy("key", "content").agg(F.sum("weight").alias("weight"), F.first("left").alias("left"), F.first("body").alias("body")).select("key", "content", "left", "weight", "body")
+    several = materialize(several, "several")
+    inner = _repeated_ranges(several, several, size, steps[1:])
+    back = finer.join(inner, ["key", "content"]).select(F.col("of_key").alias("key"), F.col("of_content").alias("content"), (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
+    out = materialize(plain.unionByName(back), "ranges", 4 * index.rows)
+    for gone in (kept, hot, finer, several, inner):
+        discard(gone)
+    return out
+
+
+def _finer(strings: DataFrame, size: int, step: int) -> DataFrame:
+    """Strings of ``step`` window starts each, keyed by all the bytes that these windows share.
 
-    strings = (
-        keyed.join(shared, ["did", "tid"])
-        .select("did", "tid", "text", "anchors")
-        .mapInArrow(cut, "key long, left int, body binary, owners array<struct<did:long,tid:int,at:int>>")
-        .repartition(partitions(spark), "key")
-        .sortWithinPartitions("key")
-    )
+    of_key, of_content and at tell where a string was cut from.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for key, content, left, weight, body in zip(*(b.column(c).to_pylist() for c in ("key", "content", "left", "weight", "body")), strict=True):
+                starts = len(body) - size + 1
+                for back in range((left - starts + 1) // step, left // step + 1):  # steps of the distance to the anchor
+                    lo, hi = max(0, left - back * step - step + 1), min(starts - 1, left - back * step)
+                    if lo > hi:
+                        continue
+                    core = left - back * step
+                    own = body[lo : hi + size]
+                    name = hashlib.blake2b(f"{key}:{back}:".encode() + body[core : core - step + 1 + size], digest_size=8).digest()
+                    what = hashlib.blake2b(f"{core - lo}:".encode() + own, digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), int.from_bytes(what, "little", signed=True), core - lo, weight, own, key, content, lo))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            for i in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out[i : i + 20_000]], kinds[j]) for j in range(8)], names=["key", "content", "left", "weight", "body", "of_key", "of_content", "at"])
+
+    return strings.select("key", "content", "left", "weight", "body").mapInArrow(run, _STRING + ", of_key long, of_content long, at int")
+
+
+def _build(strings: DataFrame, size: int) -> DataFrame:
+    """Column-wise construction of whole classes, as many at a time as ``CHUNK`` bytes hold."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
-        owners: list[list] = []
-        weight = 0
+        names: list[tuple[int, int]] = []
+        held = 0
 
-        def flush(upto: int) -> pa.RecordBatch:
-            own = owners[:upto]
-            spans = Columns(rows[:upto], size).repeated(np.array([len(o) for o in own], dtype=np.int64))
-            out = [(o["did"], o["tid"], o["at"] + a, o["at"] + b) for s, os_ in zip(spans, own, strict=True) for a, b in s for o in os_]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(4)], names=["did", "tid", "start", "stop"])
+        def flush() -> pa.RecordBatch:
+            spans = Columns(rows, size).repeated(np.array([w for _, w in names], dtype=np.int64))
+            out = [(k, c, a, b) for (k, _, _), (c, _), s in zip(rows, names, spans, strict=True) for a, b in s]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(4)], names=["key", "content", "start", "stop"])
 
         for b in batches:
-            for key, left, body, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if weight > CHUNK and rows[-1][0] != key:  # a class stays whole
-                    yield flush(len(rows))
-                    rows, owners, weight = [], [], 0
+            for key, content, left, weight, body in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+                if held > CHUNK and rows[-1][0] != key:  # a class stays whole
+                    yield flush()
+                    rows, names, held = [], [], 0
                 rows.append((key, left, body))
-                owners.append(own)
-                weight += len(body)
+                names.append((content, weight))
+                held += len(body)
         if rows:
-            yield flush(len(rows))
+            yield flush()
 
-    out = materialize(strings.mapInArrow(build, _SPAN), "spans")
-    discard(shared)
-    return out
+    dealt = strings.select("key", "content", "left", "weight", "body").repartition(partitions(strings.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, _RANGE)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

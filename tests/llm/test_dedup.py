@@ -49,6 +49,23 @@ def test_small_chunks_and_columns(spark, monkeypatch):
     assert spans == [[(1, 8)], [(0, 7)], [(0, 6)], []]
 
 
+def test_hot_anchors_are_divided(spark, monkeypatch):
+    """Anchors of more strings than a task takes are cut finer, twice; nothing is lost or added."""
+    monkeypatch.setattr(suffix, "HOT_STRINGS", 3)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(5, 25))) + passage + (" x" * (i % 3)) + " ".join(word() for _ in range(r.randrange(5, 25)))) for i in range(40)]
+    rows += [(100 + i, passage[i : 120 + i]) for i in range(0, 30, 3)] + [(200, "ab" * 200), (201, "ab" * 90 + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    finer = suffix._finer
+    monkeypatch.setattr(suffix, "_finer", lambda *a: seen.append(a[2]) or finer(*a))
+    got = sorted(tuple(x) for x in suffix.digest_repeats(df, 60).collect())
+    assert got == sorted((i, *x) for (i, _), x in zip(rows, brute.repeats([t for _, t in rows], 60), strict=True))
+    assert seen == [16, 1]
+
+
 def test_remove_repeats_keeps_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"first {text} one", "en", "a", 9), (2, f"second {text} two", "en", "b", 9), (3, "alone", None, None, 5), (4, None, None, None, None)], "doc_id long, text string, lang string, __row string, n_chars long")
