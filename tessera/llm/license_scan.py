@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 # Short standard notices of well-known licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -75,7 +77,7 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     held = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike(MARKERS))
     lines = files.where(F.lower("text").rlike(MARKERS)).select("file", F.posexplode(held).alias("line", "body"))
     tokens = lines.select("file", "line", F.explode(F.expr(f"regexp_extract_all(lower(body), '{WORD}', 0)")).alias("term"))
-    tf = tokens.groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tokens.groupBy("file", "line", "term").agg(F.count("*").alias("tf")), "terms")  # of marker lines; the texts are read once
     weighed = tf.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other))).drop("idf")
     norms = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(terms.drop("idf"), "term").groupBy("file", "line", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
@@ -92,7 +94,7 @@ def _descending(licence: Column, order: list[str]) -> Column:
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """file, path, licence, score, found (own, inherited or none), from_dir of each row (file, path, text)."""
     own = own_licences(files.where("file is not null").select("file", "text"), templates, threshold)
-    known = files.select("file", "path", parent(F.col("path")).alias("dir")).join(own, "file", "left")
+    known = materialize(files.select("file", "path", parent(F.col("path")).alias("dir")).join(own, "file", "left"), "known")
     givers = known.where(is_licence_file(F.col("path")) & F.col("licence").isNotNull())
     best = F.max_by(F.struct("licence", "score"), F.struct("score", _descending(F.col("licence"), sorted(templates))))
     giving = givers.groupBy("dir").agg(best.alias("best")).select(F.col("dir").alias("up"), "best.licence", "best.score")
