@@ -38,6 +38,12 @@ def failed(measure: str) -> Column:
     return (F.abs(F.col(f"gt_{measure}") - F.col(measure)) > F.col(f"ci_{measure}")).cast("int")
 
 
+def estimate_ratio(results: DataFrame, truth: DataFrame, measure: str) -> DataFrame:
+    """One row: mean and median of estimate / exact answer."""
+    ratio = F.col(measure) / F.nullif(F.col(f"gt_{measure}"), F.lit(0.0))
+    return paired(results, truth).agg(F.avg(ratio).alias("mean"), F.percentile(ratio, F.lit(0.5)).alias("median"))
+
+
 def skip_rate() -> Column:
     return 1 - F.col("delta_leaf_frac")
 

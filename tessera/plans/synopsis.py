@@ -144,6 +144,22 @@ class Synopsis:
             return self._combine(plans, self._uniform(queries, {q: [x.leaf for x in p.cut] for q, p in plans.items()}, rate), rate, z)
         raise ValueError(f"no method {method}")
 
+    def solve_union(self, unions: dict[str, list[Box]], method: str = "uniform", rate: float = 0.005, z: float = Z) -> DataFrame:
+        """One estimate per list of boxes: of all their rows together (a row counts once per box that
+        holds it). ``uniform``, or ``stratified`` over all leaves."""
+        parts = {f"{q}#{i}": b for q, boxes in unions.items() for i, b in enumerate(boxes)}
+        leaves = self.root.leaves()
+        if method == "uniform":
+            found = self._uniform(parts, None, rate).withColumn("__leaf", F.lit(0))
+        elif method == "stratified":
+            n = proportional([(x.leaf, x.cnt) for x in leaves], int(self.rows * rate))
+            found = self._strata({q: Plan(b, cut=leaves) for q, b in parts.items()}, dict.fromkeys(parts, n))
+        else:
+            raise ValueError(f"no method {method} for unions")
+        whole = F.regexp_replace("query_id", "#[0-9]+$", "")
+        added = found.groupBy(whole.alias("query_id"), "__leaf").agg(F.first("big_n").alias("big_n"), F.first("n").alias("n"), *[F.sum(c).alias(c) for c in ("k", "s", "ss")], F.min("least").alias("least"), F.max("most").alias("most"))
+        return self._combine({q: Plan({}) for q in unions}, added, rate if method == "uniform" else None, z, sampled_bounds=True)
+
     def bounds(self, queries: dict[str, Box], leaves_only: bool = False, budget: int = 10_000_000) -> DataFrame:
         """query_id, cnt, sum: totals over every node that the query meets; upper bounds for targets
         that are nowhere negative."""

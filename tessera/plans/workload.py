@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.intervals import Box, inside, to_sql
@@ -54,6 +54,15 @@ def every_interval(df: DataFrame, p: str, target: str, least: int = 5, most_valu
     return out.select(F.col("a.v").alias("lo"), F.col("b.v").alias("hi"), (F.col("b.cn") - F.col("a.cn") + F.col("a.n")).alias("cnt"), (F.col("b.cs") - F.col("a.cs") + F.col("a.s")).alias("sum")).where(F.col("cnt") >= least)
 
 
+def random_predicates(spark: SparkSession, n: int, low: int, high: int, seed: str) -> DataFrame:
+    """query_id, lo, hi: n pairs of distinct uniform whole numbers of [low, high]."""
+    digits = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    number = lambda at, size: F.conv(F.substring(digits, at, 12), 16, 10).cast("long") % F.lit(size)
+    rows = spark.range(n).select("id", number(1, high - low + 1).alias("a"), number(13, high - low).alias("b"))
+    b = F.when(F.col("b") >= F.col("a"), F.col("b") + 1).otherwise(F.col("b"))
+    return rows.select(F.concat(F.lit("q"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("query_id"), (F.least("a", b) + low).alias("lo"), (F.greatest("a", b) + low).alias("hi"))
+
+
 def special_query(p: str = "p") -> dict[str, Box]:
     """The fixed query of the original workload."""
     return {"special": {p: (6597, 6619)}}
@@ -80,4 +89,4 @@ def exact_by_sql(df: DataFrame, boxes: dict[str, Box], target: str) -> dict[str,
     return {q: spark.sql(s).first()[0] for q, s in sql_texts(boxes, target, "tessera_workload").items()}
 
 
-__all__ = ["every_interval", "exact_by_sql", "first_queries", "inside", "random_boxes", "random_workload", "refresh", "special_query", "sql_texts", "window_workload"]
+__all__ = ["every_interval", "exact_by_sql", "first_queries", "inside", "random_boxes", "random_predicates", "random_workload", "refresh", "special_query", "sql_texts", "window_workload"]

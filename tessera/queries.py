@@ -609,6 +609,33 @@ def ci_against_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.against_baseline(hybrid_estimate(spark, sf), uniform_estimate(spark, sf), "sum").withColumn("ratio", F.round("ratio", 8))
 
 
+@query(f"WITH {_BOTH} SELECT round(avg(min / nullif(gt_min, 0)), 8) AS mean_min, round(quantile_cont(min / nullif(gt_min, 0), 0.5), 8) AS median_min, round(avg(max / nullif(gt_max, 0)), 8) AS mean_max, round(quantile_cont(max / nullif(gt_max, 0), 0.5), 8) AS median_max FROM b")
+def minmax_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    results, truth = hybrid_estimate(spark, sf), ground_truth_batch(spark, sf)
+    low, high = (metrics.estimate_ratio(results, truth, m) for m in ("min", "max"))
+    return low.select(F.round("mean", 8).alias("mean_min"), F.round("median", 8).alias("median_min")).crossJoin(high.select(F.round("mean", 8).alias("mean_max"), F.round("median", 8).alias("median_max")))
+
+
+_UNION = f"""WITH base AS ({ORD}), z AS (SELECT CAST(floor(count(*) * 0.05 + 0.5) AS BIGINT) AS n FROM base),
+     rk AS (SELECT *, row_number() OVER (ORDER BY md5('tessera:' || key), key) AS rnk FROM base),
+     m AS (SELECT z.n, count(*) AS k, sum(CAST(t AS DOUBLE)) AS s, sum(CAST(t AS DOUBLE) * t) AS ss FROM rk, z WHERE rnk <= z.n AND (p BETWEEN 100 AND 400 OR p BETWEEN 700 AND 900) GROUP BY z.n),
+     e AS (SELECT k / 0.05 AS cnt, s / 0.05 AS sum, sqrt((CAST(k AS DOUBLE) / n - (CAST(k AS DOUBLE) / n) * (CAST(k AS DOUBLE) / n)) / n) * (n / 0.05) AS v_cnt, sqrt((ss / n - (s / n) * (s / n)) / n) * (n / 0.05) AS v_sum FROM m)
+SELECT 'u' AS query_id, round(cnt, 4) AS cnt, round(sum, 3) AS sum, round(2.576 * v_cnt, 3) AS ci_cnt, round(2.576 * v_sum, 2) AS ci_sum FROM e"""
+
+
+@query(_UNION)
+def union_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """A uniform estimate of two disjoint boxes together."""
+    s = _fit(spark, sf, "orders", ["p"], 16)
+    return rounded(s.solve_union({"u": [{"p": (100, 400)}, {"p": (700, 900)}]}, "uniform", 0.05)).select("query_id", "cnt", "sum", "ci_cnt", "ci_sum")
+
+
+@query()
+def union_estimate_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    s = _fit(spark, sf, "orders", ["p"], 16)
+    return rounded(s.solve_union({"u": [{"p": (100, 400)}, {"p": (700, 900)}]}, "stratified", 0.05))
+
+
 # workloads
 
 _WORK = """WITH base AS ({base}), src AS (SELECT * FROM base {where}), rk AS (SELECT p, row_number() OVER (ORDER BY md5('{seed}:' || key), key) AS r FROM src),
@@ -631,6 +658,12 @@ def every_interval(spark: SparkSession, sf: str) -> DataFrame:
     return workload.every_interval(axes.orders(spark, sf).where("p <= 60"), "p", "t")
 
 
+@query("""WITH d AS (SELECT i, md5('rp:' || i) AS h FROM range(0, 50) r(i)), n AS (SELECT i, CAST(('0x' || substr(h, 1, 12)) AS BIGINT) % 1000 AS a, CAST(('0x' || substr(h, 13, 12)) AS BIGINT) % 999 AS b FROM d),
+     m AS (SELECT i, a, CASE WHEN b >= a THEN b + 1 ELSE b END AS b FROM n) SELECT 'q' || lpad(CAST(i AS VARCHAR), 5, '0') AS query_id, least(a, b) + 1 AS lo, greatest(a, b) + 1 AS hi FROM m""")
+def random_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    return workload.random_predicates(spark, 50, 1, 1000, "rp")
+
+
 @query(_truth_sql(ORD, {"special": {"p": (6597, 6619)}}))
 def special_query(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(exact.batch_aggregate(axes.orders(spark, sf), workload.special_query(), "t"))

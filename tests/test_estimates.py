@@ -110,6 +110,17 @@ def test_a_small_budget_loses_nothing(table):
             assert r["cnt"] == pytest.approx(r["gt_cnt"]) and r["sum"] == pytest.approx(r["gt_sum"])
 
 
+def test_unions_add_up(table):
+    s = Synopsis.fit(table, "key", ["p"], "t", 8, "depth", 0.05)
+    parts = [{"p": (10, 200)}, {"p": (300, 410)}, {"p": (900, 5000)}]
+    truth = table.where(" or ".join(f"p between {b['p'][0]} and {b['p'][1]}" for b in parts)).agg(F.count("*"), F.sum("t"), F.min("t"), F.max("t")).first()
+    for method in ("uniform", "stratified"):
+        r = s.solve_union({"u": parts}, method, 1.0).first()
+        assert (r["cnt"], r["min"], r["max"]) == (pytest.approx(truth[0]), truth[2], truth[3]) and r["sum"] == pytest.approx(truth[1])
+    with pytest.raises(ValueError, match="unions"):
+        s.solve_union({"u": parts}, "hybrid")
+
+
 def test_other_dimensions_than_the_tree(table):
     s = Synopsis.fit(table, "key", ["p", "q"], "t", 5, "grid")
     fewer, more = {"a": {"p": (100, 700)}}, {"a": {"p": (100, 700), "q": (10, 60), "t": (0, 100)}}
