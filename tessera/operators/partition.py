@@ -96,7 +96,8 @@ def sample_points(df: DataFrame, key: str, p: str, t: str, rate: float, seed: st
     x = sorted(chosen)
     counts = {r["cell"]: r["n"] for r in rows.groupBy(by_cuts(F.col("p"), x).alias("cell")).agg(F.count("*").alias("n")).collect()}
     # rows of a cell have x[i] <= p < x[i+1]; a sample's position is that of the last row of its value
-    at = {r["p"]: r["n"] for r in rows.where(F.col("p").isin(x) if len(x) <= 200 else F.lit(False)).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    points = df.sparkSession.createDataFrame([(v,) for v in x], rows.select("p").schema)  # MOST_POINTS + 2 rows at most
+    at = {r["p"]: r["n"] for r in rows.join(F.broadcast(points), "p").groupBy("p").agg(F.count("*").alias("n")).collect()}
     before = np.concatenate(([0], np.cumsum([counts.get(i, 0) for i in range(len(x))])))
     pos = np.array([before[i] + at.get(v, 1) - 1 for i, v in enumerate(x)])
     return Points(np.array(x), np.array([float(chosen[v]["t"]) for v in x]), pos, n)

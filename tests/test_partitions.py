@@ -93,6 +93,9 @@ def test_cuts_hold_every_row(spark):
         starts = partition.choose_cuts(pts, 4, how)
         got = df.select("p", partition.by_cuts(F.col("p"), starts).alias("leaf")).collect()
         assert all(r.leaf == max(0, sum(s <= r.p for s in starts) - 1) for r in got)
+    many = spark.createDataFrame([(str(i), i // 2, 1.0) for i in range(1000)], "key string, p long, t double")
+    pts = partition.sample_points(many, "key", "p", "t", 0.7)
+    assert len(pts.x) > 200 and (pts.pos == 2 * pts.x + 1).all()
     assert partition.sample_points(df.limit(0), "key", "p", "t", 0.5).rows == 0
 
 
