@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import ship
 
-ROWS_PER_FILE, LEAST_FILES = 4000, 8  # of small tables between two steps
+ROWS_PER_FILE, LEAST_FILES = 16_000, 6  # of small tables between two steps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -326,7 +326,7 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
 
     tokens = full.select("sid", "weight", "text", "tasks").mapInArrow(to_sets, "sid long, weight long, tasks array<struct<task:string,side:int>>, tokens binary")
     placed = tokens.select("sid", "weight", "tokens", F.explode("tasks").alias("at")).select("at.task", "sid", "weight", "tokens", "at.side").repartition(partitions(spark), "task").sortWithinPartitions("task")
-    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long, whole boolean"), "answers", 20 * members.rows)
+    answers = materialize(placed.mapInArrow(solve, "sid long, lead long, n_links long, whole boolean"), "answers", 80 * members.rows)
     # a family that one task has joined needs no more than that task's roots
     linked = answers.where("whole").select("sid", F.col("lead").alias("root"), F.col("n_links").alias("others"))
     if any_large:
