@@ -36,14 +36,15 @@ class BucketError:
         n, rows = b - a + 1, self.pos[b] - self.pos[a]
         if n < LEAST or rows <= 0:
             return 0.0
-        i = np.arange(a, b + 1)
-        first, last = np.meshgrid(i, i, indexing="ij")
-        ok = last >= first + LEAST - 1
         if self.share < 1:
-            keep = self.rng.random(ok.shape) < self.share
-            keep[0, -1] = True
-            ok &= keep
-        f, e = first[ok], last[ok] + 1
+            pairs = n * (n + 1) // 2
+            f, e = np.sort(self.rng.integers(a, b + 1, (2, int(self.rng.binomial(pairs, self.share)))), axis=0)
+            f, e = np.append(f, a), np.append(e, b)
+        else:
+            f, e = np.triu_indices(n)
+            f, e = f + a, e + a
+        ok = e >= f + LEAST - 1
+        f, e = f[ok], e[ok] + 1
         q = (e - f).astype(float)
         spread = (n * (self.ss[e] - self.ss[f]) - (self.s[e] - self.s[f]) ** 2) / (q * q)
         return max(0.0, float(spread.max(initial=0.0)) * (1 / n) * (1 - n / rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tessera.operators import buckets
 from tessera.operators.sampling import ranked
 
 MOST_POINTS = 10_000  # of the sample that cuts are chosen on
+DP_POINTS = 200  # of these, for searches that compare all pairs of points
 
 
 def by_cuts(p: Column, starts: list) -> Column:
@@ -94,17 +96,44 @@ def sample_points(df: DataFrame, key: str, p: str, t: str, rate: float, seed: st
     for r in sorted([*picked, head["a"], head["z"]], key=lambda r: (r["p"], r["k"])):
         chosen[r["p"]] = r
     x = sorted(chosen)
-    counts = {r["cell"]: r["n"] for r in rows.groupBy(by_cuts(F.col("p"), x).alias("cell")).agg(F.count("*").alias("n")).collect()}
-    # rows of a cell have x[i] <= p < x[i+1]; a sample's position is that of the last row of its value
-    points = df.sparkSession.createDataFrame([(v,) for v in x], rows.select("p").schema)  # MOST_POINTS + 2 rows at most
-    at = {r["p"]: r["n"] for r in rows.join(F.broadcast(points), "p").groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before = np.concatenate(([0], np.cumsum([counts.get(i, 0) for i in range(len(x))])))
-    pos = np.array([before[i] + at.get(v, 1) - 1 for i, v in enumerate(x)])
+    tally = _tally(rows.select("p"), np.array(x)).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).collect()  # a row a point
+    held, same = np.zeros(len(x) + 1, dtype=np.int64), np.ones(len(x), dtype=np.int64)
+    for r in tally:
+        held[r["cell"] + 1] = r["n"]
+        if r["cell"] >= 0:
+            same[r["cell"]] = max(1, r["same"])
+    # a sample's position is that of the last row of its value
+    pos = np.cumsum(held)[:-1] + same - 1
     return Points(np.array(x), np.array([float(chosen[v]["t"]) for v in x]), pos, n)
 
 
+def _tally(values: DataFrame, x: np.ndarray) -> DataFrame:
+    """cell, n, same: rows with x[cell] <= p < x[cell + 1], and of these with p = x[cell]; per task.
+
+    A search in a sorted array, for which there is no built-in function.
+    """
+
+    def run(batches):
+        n, same = np.zeros(len(x) + 1, dtype=np.int64), np.zeros(len(x) + 1, dtype=np.int64)
+        for b in batches:
+            p = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            cell = np.searchsorted(x, p, side="right")
+            n += np.bincount(cell, minlength=len(n))
+            same += np.bincount(cell[(cell > 0) & (x[cell - 1] == p)], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 1, pa.int32()), pa.array(n[at]), pa.array(same[at])], names=["cell", "n", "same"])
+
+    return values.mapInArrow(run, "cell int, n long, same long")
+
+
 def choose_cuts(points: Points, k: int, how: str, share: float = 0.1) -> list:
-    """Starts of the intervals. how: depth, minimax, minimax_sampled, minimax_fast, climb."""
+    """Starts of the intervals. how: depth, minimax, minimax_sampled, minimax_fast, climb.
+
+    The minimax searches look at ``DP_POINTS`` evenly spaced points at most.
+    """
+    if how.startswith("minimax") and len(points.x) > DP_POINTS:
+        some = np.unique(np.linspace(0, len(points.x) - 1, DP_POINTS).astype(int))
+        points = Points(points.x[some], points.t[some], points.pos[some], points.rows)
     m = len(points.x)
     k = max(1, min(k, m))
     if how == "depth":
