@@ -1,14 +1,24 @@
 """Licence scan with DataFrame functions only.
 
-Candidate lines (header lines of ordinary files, all lines of licence files) are those of the whole
-text that hold a marker word. A line is a sparse TF-IDF vector over its words; its cosine to each
-template comes from one join with the templates' terms, a table whose size is that of the template
-list. The best line of a file at or over the threshold gives its licence. Files without one inherit
+Three kinds of parts of a text are sparse TF-IDF vectors over their words: its lines, the windows of as
+many words as a notice has (so that a notice is found inside a longer line or over line ends), and its
+blocks: the header (the leading comment, or else the first paragraph) and, of a licence file, the whole
+text. Lines and blocks are compared with notices, titles and full licence texts, a window with the
+notice of its length. Titles, long notices and full texts have
+idf values of their own, and no common words. The cosines come from
+one join with the templates' terms, a table whose size is that of the template list.
+
+Only parts with anchor words are compared, which drops no match: the shares of a group of a template's
+anchors have squares of more than 1 - threshold ** 2 together, so the cosine of a part without any word
+of the group is under the threshold (Cauchy-Schwarz). A part needs a word of each group of a template.
+
+The best part of a file at or over the threshold gives its licence. Files without one inherit
 it from the nearest ancestor directory that holds a licence file: distinct directories are
 expanded to their ancestors and joined by path, then files join their directory.
 
 Defined results: a null text or path has no lines and no directory; a file's own licence goes before
-an inherited one; ties go to the smaller licence id; of several licence files of a directory the
+an inherited one; a block that matches a full text goes before notices (a BSD text has the line "All
+rights reserved."); ties go to the smaller licence id; of several licence files of a directory the
 best match counts (ties: smaller licence id); repeated rows are kept; an empty table gives no rows;
 further columns are ignored.
 """
@@ -18,6 +28,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from importlib import resources
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +51,29 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-MARKERS = "licen[sc]e|copyright|permission|redistribut|reserved|public domain|creative commons"
+# Longer notices: looked for in windows as well.
+NOTICES = {
+    "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "MIT notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+}
+# Titles: only whole lines and blocks are compared with them, and need all their words ("mit" alone is a German word).
+TITLES = {
+    "Apache-2.0 title": "Apache License Version 2.0, January 2004",
+    "BSD-3-Clause title": "BSD 3-Clause License",
+    "CC-BY-4.0 title": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-NC-4.0 title": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "GPL-3.0 title": "GNU General Public License Version 3, 29 June 2007",
+    "ISC title": "ISC License",
+    "LGPL-3.0 title": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT title": "MIT License",
+    "MIT long title": "The MIT License (MIT)",
+    "MPL-2.0 title": "Mozilla Public License Version 2.0",
+}
+FULL = ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")  # licence_texts/
+COMMON = set("a all an and any are as at be been but by can do each for from has have if in into is it its may no not of on only or other our shall such than that the their this to under use was which will with without you your".split())  # not in the vectors of notices, titles and full texts; anchors of TEMPLATES only where others don't do
+COMMENT = r"^\s*(#|//|--|;|%|\*|/\*|$)"
+MARKERS = "licen[sc]e|copyright|permission|redistribut|reserved|public domain|creative commons"  # of scan_sql
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.8
 
@@ -47,9 +82,9 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def weights(templates: dict[str, str]) -> tuple[list[tuple[str, float, str, float]], dict[str, float], float]:
+def weights(templates: dict[str, str], without: frozenset | set = frozenset()) -> tuple[list[tuple[str, float, str, float]], dict[str, float], float]:
     """(term, idf, template, share of its unit vector); idf by term; idf of other words."""
-    counts = {k: Counter(words(t)) for k, t in templates.items()}
+    counts = {k: Counter(w for w in words(t) if w not in without) for k, t in templates.items()}
     n = len(counts)
     df = Counter(w for c in counts.values() for w in c)
     idf = {w: round(math.log((1 + n) / (1 + d)) + 1, 6) for w, d in df.items()}
@@ -68,22 +103,103 @@ def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def full_texts() -> dict[str, str]:
+    folder = resources.files("tessera.llm") / "licence_texts"
+    return {f"{k} text": (folder / f"{k}.txt").read_text(encoding="utf-8") for k in FULL}
+
+
+def anchors(rows: list[tuple[str, float, str, float]], threshold: float) -> dict[str, list[list[str]]]:
+    """Groups of words of each template; a text whose cosine is at or over the threshold has one of each."""
+    out: dict[str, list[list[str]]] = {}
+    for k in dict.fromkeys(r[2] for r in rows):
+        held, group, out[k] = 0.0, [], []
+        for w, _, _, share in sorted((r for r in rows if r[2] == k), key=lambda r: (r[0] in COMMON, -r[3], r[0])):
+            held += share * share
+            group.append(w)
+            if held > 1 - threshold**2 + 1e-5:  # scores are rounded
+                out[k].append(group)
+                held, group = 0.0, []
+    return out
+
+
+def one_of(found: list[str]) -> str:
+    """Pattern of the words, by first character."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(found)):
+        by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
+    return "(?<![a-zA-Z0-9])(?iu:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-zA-Z0-9])"
+
+
+def may_match(text: Column, found: dict[str, list[list[str]]]) -> Column:
+    """Whether a text has a word of each group of some template."""
+    every = [reduce(and_, [text.rlike(one_of(g)) for g in groups]) for groups in found.values()]
+    return text.rlike(one_of([w for groups in found.values() for w in groups[0]])) & reduce(or_, every)
+
+
+def header(text: Column) -> Column:
+    """The comment that a text begins with, or else its first paragraph."""
+    body = F.regexp_replace(F.regexp_replace(text, r"^#![^\n]*(\n|$)", ""), r"^\s+", "")
+    lines = F.split(body, "\n")
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), True)
+    run = F.array_join(F.when(code == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(code - 1, F.lit(0)).cast("int"))), "\n")
+    out = F.when(body.startswith("/*"), F.substring_index(body, "*/", 1)).when(body.startswith("<!--"), F.substring_index(body, "-->", 1))
+    for quote in ('"""', "'''"):
+        out = out.when(body.startswith(quote), F.substring_index(body, quote, 2))
+    return out.when(body.rlike(COMMENT), run).otherwise(F.split(body, r"\n[ \t\r]*\n", 2)[0])
+
+
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file, licence, score) of the files (file, text) with a line that matches a template."""
+    """(file, licence, score) of the files (file, path, text) with a part that matches a template."""
     spark = files.sparkSession
-    rows, _, other = weights(templates)
-    terms = F.broadcast(spark.createDataFrame(rows, "term string, idf double, licence string, share double"))  # as many rows as the templates have terms
-    idf = F.broadcast(spark.createDataFrame(sorted({(w, i) for w, i, _, _ in rows}), "term string, idf double"))
-    held = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike(MARKERS))
-    lines = files.where(F.lower("text").rlike(MARKERS)).select("file", F.posexplode(held).alias("line", "body"))
-    tokens = lines.select("file", "line", F.explode(F.expr(f"regexp_extract_all(lower(body), '{WORD}', 0)")).alias("term"))
-    tf = materialize(tokens.groupBy("file", "line", "term").agg(F.count("*").alias("tf")), "terms")  # of marker lines; the texts are read once
-    weighed = tf.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other))).drop("idf")
-    norms = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(terms.drop("idf"), "term").groupBy("file", "line", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).select("file", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = F.max_by(F.col("licence"), F.struct("score", _descending(F.col("licence"), sorted(templates))))
-    return scored.groupBy("file").agg(best.alias("licence"), F.max("score").alias("score"))
+    full = full_texts()
+    families = [(0, templates), (1, NOTICES | TITLES | full)]
+    rows, idfs, others, found = [], [], [], {}
+    for number, texts in families:
+        weighed, idf, other = weights(texts, COMMON if number else set())
+        every = {k: [[w] for w, _, t, _ in weighed if t == k] for k in texts if number and k in TITLES}
+        need = {k: len(x) for k, x in every.items()}
+        rows += [(number, w, k, k.split(" ")[0] if number else k, k in full if number else False, need.get(k, 0), share) for w, _, k, share in weighed]
+        idfs += [(number, w, i) for w, i in sorted(idf.items())] + [(1, w, 0.0) for w in sorted(COMMON) if number]
+        others.append((number, other))
+        found |= anchors(weighed, threshold) | every
+    terms = F.broadcast(spark.createDataFrame(rows, "family int, term string, template string, licence string, whole boolean, need int, share double"))  # as many rows as the templates have terms
+    idf = F.broadcast(spark.createDataFrame(idfs, "family int, term string, idf double"))
+    other = F.broadcast(spark.createDataFrame(others, "family int, other double"))
+
+    texts = files.where(may_match(F.col("text"), found)).select("file", F.xxhash64("text").alias("id"), "path", "text")
+    part = lambda kind, at, want, body: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), want.alias("want"), F.expr(f"regexp_extract_all(lower(`{body}`), '{WORD}', 0)").alias("words"))
+    lines = texts.select("file", "id", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(may_match(F.col("body"), found))
+    lines = lines.select("file", "id", part("line", F.col("line"), F.lit(""), "body").alias("part"))
+    whole = F.when(is_licence_file(F.col("path")), F.col("text"))
+    blocks = texts.select("file", "id", F.posexplode(F.array(header(F.col("text")), whole)).alias("block", "body")).where(may_match(F.col("body"), found))
+    blocks = blocks.select("file", "id", part("block", F.col("block"), F.lit(""), "body").alias("part"))
+    notices = templates | NOTICES
+    held = texts.where(may_match(F.col("text"), {k: found[k] for k in notices})).select("file", "id", F.expr(f"regexp_extract_all(lower(text), '{WORD}', 0)").alias("words"))
+    near = [_windows(F.col("words"), k, len(words(notice)), found[k][0]) for k, notice in sorted(notices.items())]
+    windows = held.select("file", "id", F.explode(F.concat(*near)).alias("part"))
+
+    by = ["file", "id", "kind", "at", "want"]
+    tokens = lines.unionByName(blocks).unionByName(windows).select("file", "id", "part.kind", "part.at", "part.want", F.explode("part.words").alias("term"))
+    tf = materialize(tokens.groupBy(*by, "term").agg(F.count("*").alias("tf")), "terms")  # of parts with an anchor; the texts are read once for each kind of part
+    weighed = tf.crossJoin(other).join(idf, ["family", "term"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", "other")).drop("idf", "other")
+    norms = weighed.groupBy(*by, "family").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = (F.col("want") == "") | (F.col("want") == F.col("template"))
+    dots = weighed.join(terms, ["family", "term"]).where(asked).groupBy(*by, "family", "template", "licence", "whole", "need").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).where("shared >= need")
+    scored = dots.join(norms, [*by, "family"]).select("file", "licence", "whole", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = F.max_by(F.struct("licence", "score"), F.struct("whole", "score", _descending(F.col("licence"), licences(templates))))
+    return scored.groupBy("file").agg(best.alias("best")).select("file", "best.licence", "best.score")
+
+
+def _windows(text: Column, notice: str, size: int, some: list[str]) -> Column:
+    """All windows of ``size`` words that hold one of some words."""
+    mine = F.array(*[F.lit(w) for w in some])
+    hits = F.filter(F.transform(text, lambda w, i: F.when(F.array_contains(mine, w), i + 1)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(1)), i))))
+    return F.transform(starts, lambda at: F.struct(F.lit("window").alias("kind"), at.cast("int").alias("at"), F.lit(notice).alias("want"), F.slice(text, at, F.lit(size)).alias("words")))
+
+
+def licences(templates: dict[str, str]) -> list[str]:
+    return sorted({*templates, *FULL, *(k.split(" ")[0] for k in NOTICES | TITLES)})
 
 
 def _descending(licence: Column, order: list[str]) -> Column:
@@ -93,10 +209,10 @@ def _descending(licence: Column, order: list[str]) -> Column:
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """file, path, licence, score, found (own, inherited or none), from_dir of each row (file, path, text)."""
-    own = own_licences(files.where("file is not null").select("file", "text"), templates, threshold)
+    own = own_licences(files.where("file is not null").select("file", "path", "text"), templates, threshold)
     known = materialize(files.select("file", "path", parent(F.col("path")).alias("dir")).join(own, "file", "left"), "known")
     givers = known.where(is_licence_file(F.col("path")) & F.col("licence").isNotNull())
-    best = F.max_by(F.struct("licence", "score"), F.struct("score", _descending(F.col("licence"), sorted(templates))))
+    best = F.max_by(F.struct("licence", "score"), F.struct("score", _descending(F.col("licence"), licences(templates))))
     giving = givers.groupBy("dir").agg(best.alias("best")).select(F.col("dir").alias("up"), "best.licence", "best.score")
     parts = F.split(F.col("dir"), "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

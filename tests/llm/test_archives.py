@@ -152,6 +152,31 @@ def test_scan_inherits_from_the_nearest_directory(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_scan_compares_headers_and_whole_licence_files(spark):
+    full = license_scan.full_texts()
+    mit = full["MIT text"].replace("<year> <copyright holders>", "2020 Foo Inc. All rights reserved.")
+    rows = [
+        ("MIT", "a/LICENSE", mit), ("MIT", "b/f.py", "#!/bin/sh\n" + "".join(f"# {x}\n" for x in mit.split("\n")[2:]) + "code = 1\n" * 500),
+        ("BSD-3-Clause", "c/f.c", "/*\n" + full["BSD-3-Clause text"] + "*/\nint main;\n" * 9), ("Apache-2.0", "d/LICENSE", full["Apache-2.0 text"]), ("GPL-3.0", "e/COPYING", full["GPL-3.0 text"]),
+        ("MIT", "f/f.c", "MIT License\nx"), ("MIT", "f/g.c", "x\nThe MIT License (MIT)"), ("Proprietary", "g/f.c", "Copyright (c) 2020 Foo Inc. All rights reserved."),
+        ("Apache-2.0", "h/f.c", "Copyright 2020 Foo Inc. Licensed under the Apache\n * License, Version 2.0; see there for more"), (None, "i/f.c", "all that was reserved is right\nmit\n" * 50),
+        ("MIT", "j/f.c", "x = 1\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"),
+    ]
+    df = spark.createDataFrame([(i, path, text) for i, (_, path, text) in enumerate(rows)], "file long, path string, text string")
+    got = {r.file: (r.licence, r.found) for r in license_scan.scan(df).collect()}
+    assert got == {i: (k, "own" if k else "none") for i, (k, _, _) in enumerate(rows)}
+
+
+def test_anchors_drop_no_match():
+    """No template keeps the threshold without the words of a group of its anchors."""
+    for texts, without in ((license_scan.TEMPLATES, set()), (license_scan.NOTICES | license_scan.TITLES | license_scan.full_texts(), license_scan.COMMON)):
+        rows, _, _ = license_scan.weights(texts, without)
+        for k, groups in license_scan.anchors(rows, 0.8).items():
+            assert groups
+            for found in groups:
+                assert sum(s * s for w, _, t, s in rows if t == k and w not in found) < 0.64
+
+
 def test_scan_is_native(spark):
     assert license_scan.session_needs_no_python(spark)
 
