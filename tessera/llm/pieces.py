@@ -5,8 +5,8 @@ model type and byte fallback, and the normaliser. From it the normaliser, the ma
 unigram or BPE model are rebuilt. Texts are normalised whole; the words of a batch that aren't known
 yet are encoded in one multithreaded batch, and known words come from a bounded table. That is exact
 if no piece has a marker after another character, which is looked up in the model; else whole texts
-are encoded. Parity with the sentencepiece library is tried on a share of the texts of each batch
-(by a hash of the text), and ids are decoded again.
+are encoded. Every text is also encoded by the sentencepiece library; where the ids differ, parity is
+false and the library's ids are the result. Ids are decoded again.
 
 Defined results: a null or empty text has no ids; texts that decode to something else than their
 normalised form are shown as such; repeated rows are kept; an empty table gives no rows; further
@@ -181,11 +181,11 @@ def backend(path: str) -> tuple[Backend, object]:
     return _backends[path]
 
 
-def encode_documents(docs: DataFrame, path: str, share: int = 64, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, share: int = 1, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (doc_id if None), ids, n_tokens, ids_crc32, round_trip, parity.
 
-    ``parity`` compares the ids with the sentencepiece library for a text in ``share``, and is null
-    for the others.
+    ``parity`` compares the ids with the sentencepiece library for a text in ``share`` (each by default),
+    and is null for the others. Ids that differ are replaced by the library's.
     """
     tune_arrow(docs.sparkSession)
     keep = keep or ["doc_id"]
@@ -199,10 +199,13 @@ def encode_documents(docs: DataFrame, path: str, share: int = 64, keep: list[str
                 texts = [t or "" for t in b.column("__text").to_pylist()]
                 ids = enc.encode(texts)
                 trip, same = [], []
-                for t, i in zip(texts, ids, strict=True):
+                for at_text, (t, i) in enumerate(zip(texts, ids, strict=True)):
+                    tried = zlib.crc32(t.encode()) % share == 0
+                    want = np.array(other.encode(t), dtype="<u4") if tried else i
+                    same.append(np.array_equal(want, i) if tried else None)
+                    ids[at_text] = i = want
                     shown = enc.normalise(t).replace(MARK, " ")
                     trip.append(enc.decode(i) == (shown[1:] if enc.model.dummy_prefix else shown))
-                    same.append(other.encode(t) == i.tolist() if zlib.crc32(t.encode()) % share == 0 else None)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), lists, pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())],

@@ -134,6 +134,26 @@ def test_op4(spark, data):
     assert pieces.encode_documents(odd.limit(0), MODEL).count() == 0
 
 
+def test_parity_of_every_text(spark):
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(200)] + [(200, "same")] * 3 + [(201, None)], "doc_id long, text string")
+    assert all(r.parity is True for r in pieces.encode_documents(df, MODEL).collect())
+
+
+def test_ids_that_differ_are_replaced(spark, tmp_path):
+    """Of some texts the rebuilt model has other ids than the library."""
+    import sentencepiece
+
+    path = unigram_file(tmp_path / "u.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    enc, _ = pieces.backend(path)
+    texts = ["ab ba", "a\u2581b", "\u2581 \u2581ab", "a\x00b", "ab\u2581"]
+    got = {r.doc_id: r for r in pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == sp.encode(t)
+        assert got[i].parity == (enc.encode([t])[0].tolist() == sp.encode(t))
+    assert not all(r.parity for r in got.values())
+
+
 # licences
 
 
