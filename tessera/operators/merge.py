@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.partition import by_cuts
+
 
 def inverse_variance(df: DataFrame, group: str, value: str, variance: str) -> DataFrame:
     """Mean of independent estimates by group, each weighted by 1 / variance (0 where it isn't positive)."""
@@ -38,11 +40,30 @@ def zero_padded_variance(df: DataFrame, box: Column, target: str) -> DataFrame:
     return df.agg((F.sum(t * t) / n - (F.sum(t) / n) * (F.sum(t) / n)).alias("variance"))
 
 
-def prefix_sums(df: DataFrame, order: list[str], target: str, groups: str | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[str], target: str, groups: str | None = None, ranges: int = 64) -> DataFrame:
     """Position, running sum and running sum of squares in sorted order.
 
-    Of bounded samples; over a whole table, give ``groups`` to keep windows apart.
+    With ``groups`` in each group apart. Else over the whole table, in ranges of the order: windows
+    inside ranges, to which the totals of the ranges before are added, so that no task has all rows.
+    The order should be total.
     """
-    w = Window.partitionBy(*([groups] if groups else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = F.col(target)
-    return df.withColumns({"pos": F.row_number().over(Window.partitionBy(*([groups] if groups else [])).orderBy(*order)).cast("long") - 1, "s": F.sum(t).over(w), "ss": F.sum(t * t).over(w)})
+    t, by = F.col(target), groups
+    if not groups:
+        df, by = df.withColumn("__range", by_cuts(F.struct(*order), _range_starts(df, order, ranges))), "__range"
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({"pos": F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long") - 1, "s": F.sum(t).over(w), "ss": F.sum(t * t).over(w)})
+    if groups:
+        return out
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    totals = df.groupBy("__range").agg(F.count("*").alias("n"), F.sum(t).alias("a"), F.sum(t * t).alias("b"))
+    offsets = totals.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.sum("a").over(before).alias("__s"), F.sum("b").over(before).alias("__ss"))
+    added = lambda c: F.coalesce(F.col(c) + F.col(f"__{c}"), c, f"__{c}")
+    return out.join(F.broadcast(offsets), "__range").withColumns({"pos": F.col("pos") + F.col("__n"), "s": added("s"), "ss": added("ss")}).drop("__range", "__n", "__s", "__ss")
+
+
+def _range_starts(df: DataFrame, order: list[str], ranges: int) -> list[Column]:
+    """First order values of about equal ranges, from a bounded sample; where they lie changes no result."""
+    n = df.count()
+    rows = df.select(*order).sample(min(1.0, 100 * ranges / max(n, 1)), seed=1).orderBy(*order).collect()
+    picked = list(dict.fromkeys(tuple(rows[i * len(rows) // ranges]) for i in range(ranges))) if rows else [(None,) * len(order)]
+    return [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, x, strict=True)]) for x in picked]

@@ -341,6 +341,12 @@ def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
     return merge.prefix_sums(axes.orders(spark, sf).where("p <= 6").select("key", "p", "t"), ["p", "key"], "t")
 
 
+@query("SELECT key, p, t, row_number() OVER (ORDER BY p, key) - 1 AS pos, CAST(sum(t) OVER w AS BIGINT) AS s, CAST(sum(CAST(t AS HUGEINT) * t) OVER w AS BIGINT) AS ss FROM (" + ORD + ") WINDOW w AS (ORDER BY p, key ROWS UNBOUNDED PRECEDING)")
+def prefix_sums_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the whole table."""
+    return merge.prefix_sums(axes.orders(spark, sf).select("key", "p", "t"), ["p", "key"], "t")
+
+
 @query("WITH base AS (" + ORD + "), z AS (SELECT CAST(CASE WHEN p BETWEEN 100 AND 900 THEN t ELSE 0 END AS DOUBLE) AS t FROM base) SELECT round((sum(t * t) / count(*) - (sum(t) / count(*)) * (sum(t) / count(*))) / 1e6, 3) AS variance FROM z")
 def interval_variance(spark: SparkSession, sf: str) -> DataFrame:
     return merge.zero_padded_variance(axes.orders(spark, sf), F.col("p").between(100, 900), "t").select(F.round(F.col("variance") / 1e6, 3).alias("variance"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import exact, partition, sampling, tree
+from tessera.operators import exact, merge, partition, sampling, tree
 from tessera.plans import metrics, runner, workload
 from tessera.plans.synopsis import Synopsis
 
@@ -196,3 +196,16 @@ def test_stored_samples_give_the_same_answers(spark, table, tmp_path):
     assert "PartitionFilters: [isnotnull(__leaf" in got._jdf.queryExecution().executedPlan().toString() or "strata" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, got.collect())) == want
     assert s.solve(boxes, "hybrid", 1.0).count() == len(boxes)  # more than is kept: from the table
+
+
+def test_prefix_sums_in_ranges(spark):
+    rows = sorted((i % 7, f"{i:04d}", i * 3 % 11) for i in range(700))
+    df = spark.createDataFrame(rows, "p long, key string, t long")
+    made = merge.prefix_sums(df, ["p", "key"], "t", ranges=9)
+    got = {r.key: (r.pos, r.s, r.ss) for r in made.collect()}
+    s = ss = 0
+    for pos, (_, key, t) in enumerate(rows):
+        s, ss = s + t, ss + t * t
+        assert got[key] == (pos, s, ss)
+    assert "__range" in made._jdf.queryExecution().analyzed().toString()
+    assert merge.prefix_sums(df.limit(0), ["p", "key"], "t").count() == 0
