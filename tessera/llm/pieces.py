@@ -3,20 +3,26 @@
 The model's protobuf is parsed here (wire format only): pieces with scores and types, the trainer's
 model type and byte fallback, and the normaliser. From it the normaliser, the marker of spaces, and a
 unigram or BPE model are rebuilt. Texts are normalised whole; the words of a batch that aren't known
-yet are encoded in one multithreaded batch, and known words come from a bounded table. That is exact
-if no piece has a marker after another character, which is looked up in the model; else whole texts
-are encoded. Every text is also encoded by the sentencepiece library; where the ids differ, parity is
-false and the library's ids are the result. Ids are decoded again.
+yet are encoded in one multithreaded batch, and known words come from a table bounded in bytes. That is
+exact if no piece has a marker after another character, which is looked up in the model: no piece then
+lies in two words. Else whole texts are encoded.
+
+Parity with the sentencepiece library covers every text: its normalised form is compared with the
+library's, and so are the ids of each word when it comes into the table. A text with a word that differs,
+or that says nothing about its neighbours (unknown characters, which the library fuses; no marker), is
+encoded whole by the library, whose ids are the result where they differ; parity is false there. Round
+trips are tried by word in the same way, and by text where a word fails.
 
 Defined results: a null or empty text has no ids; texts that decode to something else than their
-normalised form are shown as such; repeated rows are kept; an empty table gives no rows; further
-columns are ignored.
+normalised form are shown as such; very long texts and words are encoded whole (a word over the table's
+bound is not kept); repeated rows are kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +35,8 @@ from tessera.llm.common import tune_arrow
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KNOWN_WORDS = 400_000
+KNOWN_BYTES = 160 << 20  # of the table of words, with ENTRY bytes for what Python holds of each
+ENTRY = 240
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,6 +122,7 @@ class Backend:
     """Encoder and decoder of a model file."""
 
     def __init__(self, path: str):
+        import sentencepiece
         from tokenizers import Regex, Tokenizer, models, normalizers
 
         with open(path, "rb") as f:
@@ -133,6 +141,10 @@ class Backend:
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.by_word = not any(MARK in p.lstrip(MARK) for p, t in zip(m.pieces, m.types, strict=True) if t in (NORMAL, USER)) and m.escape and USER not in m.types
         self.known: dict[str, bytes] = {}
+        self.weight = 0
+        self.odd: set[str] = set()  # known words that don't settle parity and round trip of a text by themselves
+        self.opens = np.array([p.startswith(MARK) for p in m.pieces])  # pieces that begin a word
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.raw = [self._bytes(p, t) for p, t in zip(m.pieces, m.types, strict=True)]
 
     @staticmethod
@@ -150,62 +162,103 @@ class Backend:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ready = [self.normalise(t) for t in texts]
+    def keys(self, ready: str) -> list[str]:
+        """The words of a normalised text: "▁word" as "word", any other word behind a marker."""
+        if ready.startswith(MARK) and MARK + MARK not in ready:
+            return ready.split(MARK)[1:]
+        return [w[1:] if w[0] == MARK and w[1:2] != MARK else MARK + w for w in self.words.findall(ready)]
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of words, compared with the library's. Plain words go in groups, as texts; where a group
+        differs in anything, its words are tried alone."""
+        plain = [k for k in new if k and k[0] != MARK] if self.model.dummy_prefix else []
+        alone = new if not plain else [k for k in new if not k or k[0] == MARK]
+        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
+        texts = [MARK + MARK.join(g) for g in groups]
+        for group, text, made in zip(groups, texts, self.core.encode_batch(texts, add_special_tokens=False), strict=True):
+            ids = made.ids
+            begin = np.flatnonzero(self.opens[ids]).tolist()
+            spaced = " ".join(group)
+            if len(begin) != len(group) or self.model.unk in ids or self.library.encode(spaced) != ids or self.library.normalize(spaced) != text or b"".join([self.raw[i] for i in ids]) != (" " + spaced).encode():
+                alone = alone + group
+                continue
+            data = np.array(ids, dtype="<u4").tobytes()
+            self.known |= {k: data[4 * x : 4 * y] for k, x, y in zip(group, begin, [*begin[1:], len(ids)], strict=True)}
+            self.weight += len(text) + len(data) + ENTRY * len(group)
+        words = [k[1:] if k.startswith(MARK) else MARK + k for k in alone]
+        for key, word, made in zip(alone, words, self.core.encode_batch(words, add_special_tokens=False), strict=True):
+            ids = made.ids
+            self.known[key] = array("I", ids).tobytes()
+            self.weight += len(key) + 4 * len(ids) + ENTRY
+            bare = word[1:] if self.model.dummy_prefix else word
+            settled = key and key[0] != MARK and self.model.unk not in ids and self.library.encode(bare) == ids and self.library.normalize(bare) == word
+            if not settled or b"".join([self.raw[i] for i in ids]) != word.replace(MARK, " ").encode():
+                self.odd.add(key)
+
+    def ids_of(self, ready: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of normalised texts, and whether all their words are settled."""
         if not self.by_word:
-            return [np.array(e.ids, dtype="<u4") for e in self.core.encode_batch(ready, add_special_tokens=False)]
-        cut = [self.words.findall(t) for t in ready]
-        new = list({w for ws in cut for w in ws if w not in self.known})
-        if len(self.known) + len(new) > KNOWN_WORDS:
+            return [np.array(e.ids, dtype="<u4") for e in self.core.encode_batch(ready, add_special_tokens=False)], [False] * len(ready)
+        cut = [self.keys(t) for t in ready]
+        if self.weight > KNOWN_BYTES:
             self.known.clear()
-            new = list({w for ws in cut for w in ws})
-        for w, e in zip(new, self.core.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([self.known[w] for w in ws]), dtype="<u4") for ws in cut]
+            self.odd.clear()
+            self.weight = 0
+        self.learn(list(set().union(*cut) - self.known.keys()))
+        find = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, ks)), dtype="<u4") for ks in cut], [not self.odd or self.odd.isdisjoint(ks) for ks in cut]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.ids_of([self.normalise(t) for t in texts])[0]
+
+    def verified(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids, parity and round trip of each text; ids that differ are the library's."""
+        ready = [self.normalise(t) for t in texts]
+        ids, settled = self.ids_of(ready)
+        parity, trip = [], []
+        for i, (text, norm) in enumerate(zip(texts, ready, strict=True)):
+            if settled[i] and self.library.normalize(text) == norm:
+                parity.append(True)
+                trip.append(True)
+                continue
+            want = np.array(self.library.encode(text), dtype="<u4")
+            parity.append(np.array_equal(want, ids[i]))
+            ids[i] = want
+            shown = norm.replace(MARK, " ")
+            trip.append(self.decode(want) == (shown[1:] if self.model.dummy_prefix else shown))
+        return ids, parity, trip
+
+    def _text(self, ids: np.ndarray) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self._text(ids)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_backends: dict[str, tuple[Backend, object]] = {}
+_backends: dict[str, Backend] = {}
 
 
 def backend(path: str) -> tuple[Backend, object]:
     """The backend, and the sentencepiece processor it's tried against."""
     if path not in _backends:
-        import sentencepiece
-
-        _backends[path] = (Backend(path), sentencepiece.SentencePieceProcessor(model_file=path))
-    return _backends[path]
-
+        _backends[path] = Backend(path)
+    return _backends[path], _backends[path].library
 
-def encode_documents(docs: DataFrame, path: str, share: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id if None), ids, n_tokens, ids_crc32, round_trip, parity.
 
-    ``parity`` compares the ids with the sentencepiece library for a text in ``share`` (each by default),
-    and is null for the others. Ids that differ are replaced by the library's.
-    """
+def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (doc_id if None), ids, n_tokens, ids_crc32, round_trip, parity (of every text)."""
     tune_arrow(docs.sparkSession)
     keep = keep or ["doc_id"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, other = backend(path)
+        enc, _ = backend(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                texts = [t or "" for t in b.column("__text").to_pylist()]
-                ids = enc.encode(texts)
-                trip, same = [], []
-                for at_text, (t, i) in enumerate(zip(texts, ids, strict=True)):
-                    tried = zlib.crc32(t.encode()) % share == 0
-                    want = np.array(other.encode(t), dtype="<u4") if tried else i
-                    same.append(np.array_equal(want, i) if tried else None)
-                    ids[at_text] = i = want
-                    shown = enc.normalise(t).replace(MARK, " ")
-                    trip.append(enc.decode(i) == (shown[1:] if enc.model.dummy_prefix else shown))
+                ids, same, trip = enc.verified([t or "" for t in b.column("__text").to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), lists, pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())],
