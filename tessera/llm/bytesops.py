@@ -2,7 +2,9 @@
 
 A ``Block`` is a run of texts of one Arrow batch, laid end to end in one byte array. All
 functions return flat arrays with the text's index beside, so that nothing loops over words.
-Hashes are polynomial modulo 2**64 over a random byte table, then finalised.
+A span's hash sums a keyed, mixed value of each eight bytes of it (``span_hash``): unlike a polynomial
+modulo 2**64, it has no structured collisions. Rolling hashes of windows are such polynomials over a
+random byte table; they only bring strings together, and decide nothing.
 """
 
 from __future__ import annotations
@@ -65,12 +67,11 @@ class Block:
         """The index of the text that holds byte position ``at``."""
         return np.searchsorted(self.edges, at, side="right") - 1
 
-    def prefix(self, lower: bool = False) -> np.ndarray:
+    def prefix(self) -> np.ndarray:
         """prefix[i] = sum of code(b_j) * BASE**j for j < i."""
-        table = BYTE_CODE[LOWER] if lower else BYTE_CODE
         out = np.empty(len(self.buf) + 1, dtype=U64)
         out[0] = 0
-        np.cumsum(table[self.buf] * powers(BASE, len(self.buf))[: len(self.buf)], out=out[1:])
+        np.cumsum(BYTE_CODE[self.buf] * powers(BASE, len(self.buf))[: len(self.buf)], out=out[1:])
         return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +91,42 @@ class Block:
         return starts, ends, self.text_of(starts)
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span, equal for equal bytes wherever they stand."""
-    inverse = powers(INVERSE, len(prefix))
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+_LOW_BYTES = np.array([2 ** (8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=U64)
+_keys = np.empty(0, dtype=U64)
+
+
+def chunk_keys(n: int) -> np.ndarray:
+    """A fixed random number for each place of eight bytes in a span; kept and grown by doubling."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, (1 << max(10, n.bit_length())) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return _keys[:n]
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each byte span (none empty), equal for equal bytes wherever they stand."""
+    padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    counts = (sizes + 7) >> 3
+    out = np.empty(len(starts), dtype=U64)
+    edges = np.concatenate(([0], np.cumsum(counts)))
+    lo = 0
+    while lo < len(starts):  # some spans at a time, so that overlapping ones don't add up in memory
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + most, side="right")) - 1)
+        n = counts[lo:hi]
+        if int(n.max()) == 1:
+            h = eight[starts[lo:hi]] & _LOW_BYTES[sizes[lo:hi]]
+            out[lo:hi] = mix(mix(h ^ chunk_keys(1)) + sizes[lo:hi].astype(U64) * U64(0xD6E8FEB86659FD93))
+        else:
+            first = edges[lo:hi] - edges[lo]
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            left = np.minimum(np.repeat(sizes[lo:hi], n) - 8 * place, 8)
+            h = eight[np.repeat(starts[lo:hi], n) + 8 * place] & _LOW_BYTES[left]
+            h = np.add.reduceat(mix(h ^ chunk_keys(int(n.max()))[place]), first)
+            out[lo:hi] = mix(h + sizes[lo:hi].astype(U64) * U64(0xD6E8FEB86659FD93))
+        lo = hi
+    return out
 
 
 def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:

@@ -35,7 +35,7 @@ def letter_table() -> np.ndarray:
     global _letters
     if _letters is None:
         out = np.full(0x110000, 32, dtype=np.uint32)
-        for cp in (*range(0xD800), *range(0xE000, 0x32000)):
+        for cp in (*range(0xD800), *range(0xE000, 0x110000)):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bytesops import Block, blocks, mix, per_text, shingle_hash, span_hash
+from tessera.llm.bytesops import LOWER, Block, blocks, mix, per_text, shingle_hash, span_hash
 from tessera.llm.common import materialize, partitions, tune_arrow
 from tessera.llm.graph import components
 from tessera.llm.suffix import row_keys
@@ -44,9 +44,8 @@ WHOLE = ":whole"  # ends the name of a task that has all of its family
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Text index and hash of the distinct shingles of each text, sorted."""
-    prefix = block.prefix(lower=True)
     starts, ends, text = block.words()
-    words = span_hash(prefix, starts, ends)
+    words = span_hash(LOWER[block.buf], starts, ends)
     h, t = shingle_hash(words, text, n)
     count = per_text(text, block.n)
     short = np.flatnonzero((count > 0) & (count < n))

@@ -49,7 +49,6 @@ def _twice(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def measure(block: Block) -> dict[str, np.ndarray]:
     """Counts of each text of a block, over whole texts."""
     n, buf = block.n, block.buf
-    prefix = block.prefix()
     starts, ends, text = block.words()
     out = {"n_words": per_text(text, n)}
     sums = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[block.edges]).astype(np.int64)
@@ -72,12 +71,12 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     with_word = solid[line_end] > solid[line_start]
     line_start, line_end = line_start[with_word], line_end[with_word]
     line_text = block.text_of(line_start)
-    _, seen = _twice(line_text, span_hash(prefix, line_start, line_end))
+    _, seen = _twice(line_text, span_hash(buf, line_start, line_end))
     out["n_lines"] = per_text(line_text, n)
     out["n_dup_lines"] = per_text(line_text[seen], n)
     covered = np.zeros(len(starts), dtype=bool)
     if len(starts) >= 3:
-        w = span_hash(prefix, starts, ends)
+        w = span_hash(buf, starts, ends)
         m = len(w) - 2
         h = (w[:m] * np.uint64(3) + w[1 : m + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) + w[2:]
         inside = np.flatnonzero(text[:m] == text[2:])

@@ -77,7 +77,7 @@ def anchors(block: Block, size: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(p)])) - 1
     base = block.edges[text[first]]
-    content = mix(span_hash(prefix, p[first], p[last] + size) ^ (a[first] - p[first]).astype(U64))
+    content = mix(span_hash(block.buf, p[first], p[last] + size) ^ (a[first] - p[first]).astype(U64))
     return h[a[first]].view(np.int64), content.view(np.int64), text[first], a[first] - base, p[first] - base, p[last] - base
 
 
