@@ -11,13 +11,16 @@ one join with the templates' terms, a table whose size is that of the template l
 Only parts with anchor words are compared, which drops no match: the shares of a group of a template's
 anchors have squares of more than 1 - threshold ** 2 together, so the cosine of a part without any word
 of the group is under the threshold (Cauchy-Schwarz). A part needs a word of each group of a template.
+By the same bound a window is only written out if the squared shares of its words add up to threshold ** 2.
+Texts are read once for all kinds of parts.
 
 The best part of a file at or over the threshold gives its licence. Files without one inherit
 it from the nearest ancestor directory that holds a licence file: distinct directories are
 expanded to their ancestors and joined by path, then files join their directory.
 
-Defined results: a null text or path has no lines and no directory; a file's own licence goes before
-an inherited one; a block that matches a full text goes before notices (a BSD text has the line "All
+Defined results: a null text or path has no lines and no directory; a file without an id is a file like
+others; rows of one id are files of their own (rows are told apart by 96 bits of hashes of id, path and
+text); very long texts are read whole; a file's own licence goes before an inherited one; a block that matches a full text goes before notices (a BSD text has the line "All
 rights reserved."); ties go to the smaller licence id; of several licence files of a directory the
 best match counts (ties: smaller licence id); repeated rows are kept; an empty table gives no rows;
 further columns are ignored.
@@ -28,9 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 from importlib import resources
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,10 +131,27 @@ def one_of(found: list[str]) -> str:
     return "(?<![a-zA-Z0-9])(?iu:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-zA-Z0-9])"
 
 
-def may_match(text: Column, found: dict[str, list[list[str]]]) -> Column:
-    """Whether a text has a word of each group of some template."""
-    every = [reduce(and_, [text.rlike(one_of(g)) for g in groups]) for groups in found.values()]
-    return text.rlike(one_of([w for groups in found.values() for w in groups[0]])) & reduce(or_, every)
+# The conditions on words are long, and are SQL texts: these are built and parsed much faster than as Columns.
+
+
+def words_of(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '{WORD}', 0)"
+
+
+def any_of(held: str, some: list[str]) -> str:
+    return f"arrays_overlap({held}, split('{' '.join(some)}', ' '))"  # words of WORD have neither spaces nor quotes
+
+
+def every_group(held: str, groups: list[list[str]]) -> str:
+    return "(" + " AND ".join(any_of(held, g) for g in groups) + ")"
+
+
+def may_match(text: str, found: dict[str, list[list[str]]]) -> str:
+    """Whether a text has a word of each group of some template. Only texts with a word of a first group
+    are cut into words, once."""
+    first = one_of([w for groups in found.values() for w in groups[0]])
+    some = " OR ".join(every_group("held", groups) for groups in found.values())
+    return f"({text} RLIKE r'{first}' AND exists(array(array_distinct({words_of(text)})), held -> {some}))"
 
 
 def header(text: Column) -> Column:
@@ -149,7 +167,7 @@ def header(text: Column) -> Column:
 
 
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file, licence, score) of the files (file, path, text) with a part that matches a template."""
+    """(id, tid, licence, score) of the files (file, path, text) with a part that matches a template."""
     spark = files.sparkSession
     full = full_texts()
     families = [(0, templates), (1, NOTICES | TITLES | full)]
@@ -166,36 +184,44 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     idf = F.broadcast(spark.createDataFrame(idfs, "family int, term string, idf double"))
     other = F.broadcast(spark.createDataFrame(others, "family int, other double"))
 
-    texts = files.where(may_match(F.col("text"), found)).select("file", F.xxhash64("text").alias("id"), "path", "text")
-    part = lambda kind, at, want, body: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), want.alias("want"), F.expr(f"regexp_extract_all(lower(`{body}`), '{WORD}', 0)").alias("words"))
-    lines = texts.select("file", "id", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(may_match(F.col("body"), found))
-    lines = lines.select("file", "id", part("line", F.col("line"), F.lit(""), "body").alias("part"))
-    whole = F.when(is_licence_file(F.col("path")), F.col("text"))
-    blocks = texts.select("file", "id", F.posexplode(F.array(header(F.col("text")), whole)).alias("block", "body")).where(may_match(F.col("body"), found))
-    blocks = blocks.select("file", "id", part("block", F.col("block"), F.lit(""), "body").alias("part"))
-    notices = templates | NOTICES
-    held = texts.where(may_match(F.col("text"), {k: found[k] for k in notices})).select("file", "id", F.expr(f"regexp_extract_all(lower(text), '{WORD}', 0)").alias("words"))
-    near = [_windows(F.col("words"), k, len(words(notice)), found[k][0]) for k, notice in sorted(notices.items())]
-    windows = held.select("file", "id", F.explode(F.concat(*near)).alias("part"))
-
-    by = ["file", "id", "kind", "at", "want"]
-    tokens = lines.unionByName(blocks).unionByName(windows).select("file", "id", "part.kind", "part.at", "part.want", F.explode("part.words").alias("term"))
-    tf = materialize(tokens.groupBy(*by, "term").agg(F.count("*").alias("tf")), "terms")  # of parts with an anchor; the texts are read once for each kind of part
+    part = lambda kind, at, want, held: f"named_struct('kind', '{kind}', 'at', int({at}), 'want', '{want}', 'words', {held})"
+    passing = lambda kind, bodies: f"transform(filter(transform({bodies}, (x, i) -> struct(i AS at, x AS body)), x -> {may_match('x.body', found)}), x -> {part(kind, 'x.at', '', words_of('x.body'))})"
+    shares = {k: {w: share * share for _, w, t, _, _, _, share in rows if t == k} for k in templates | NOTICES}
+    near = [_windows(len(words(notice)), found[k], shares[k], threshold, lambda at, held, k=k: part("window", at, k, held)) for k, notice in sorted((templates | NOTICES).items())]
+    windows = f"flatten(transform(array({words_of('text')}), held -> concat({', '.join(near)})))"
+    texts = files.where(may_match("text", found)).select(*row_ids(), "text", F.array(header(F.col("text")), F.when(is_licence_file(F.col("path")), F.col("text"))).alias("bodies"))
+    lines, blocks = passing("line", r"split(text, '\n')"), passing("block", "bodies")
+    parts = texts.selectExpr("id", "tid", f"explode(concat({lines}, {blocks}, {windows})) AS part")
+
+    by = ["id", "tid", "kind", "at", "want"]
+    tokens = parts.select("id", "tid", "part.kind", "part.at", "part.want", F.explode("part.words").alias("term"))
+    tf = materialize(tokens.groupBy(*by, "term").agg(F.count("*").alias("tf")), "terms")  # of parts with an anchor
     weighed = tf.crossJoin(other).join(idf, ["family", "term"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", "other")).drop("idf", "other")
     norms = weighed.groupBy(*by, "family").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = (F.col("want") == "") | (F.col("want") == F.col("template"))
     dots = weighed.join(terms, ["family", "term"]).where(asked).groupBy(*by, "family", "template", "licence", "whole", "need").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).where("shared >= need")
-    scored = dots.join(norms, [*by, "family"]).select("file", "licence", "whole", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    scored = dots.join(norms, [*by, "family"]).select("id", "tid", "licence", "whole", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("licence", "score"), F.struct("whole", "score", _descending(F.col("licence"), licences(templates))))
-    return scored.groupBy("file").agg(best.alias("best")).select("file", "best.licence", "best.score")
+    return scored.groupBy("id", "tid").agg(best.alias("best")).select("id", "tid", "best.licence", "best.score")
+
+
+def row_ids() -> tuple[Column, Column]:
+    """What tells rows apart: hashes of id, path and text; rows that are equal in all are equal files."""
+    known = [F.col(c) for c in ("file", "path", "text")]
+    empty = [F.col(c).isNull() for c in ("file", "path", "text")]
+    return F.xxhash64(*known, *empty).alias("id"), F.hash(*empty, *known).alias("tid")
 
 
-def _windows(text: Column, notice: str, size: int, some: list[str]) -> Column:
-    """All windows of ``size`` words that hold one of some words."""
-    mine = F.array(*[F.lit(w) for w in some])
-    hits = F.filter(F.transform(text, lambda w, i: F.when(F.array_contains(mine, w), i + 1)), lambda i: i.isNotNull())
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(1)), i))))
-    return F.transform(starts, lambda at: F.struct(F.lit("window").alias("kind"), at.cast("int").alias("at"), F.lit(notice).alias("want"), F.slice(text, at, F.lit(size)).alias("words")))
+def _windows(size: int, groups: list[list[str]], shares: dict[str, float], threshold: float, part) -> str:
+    """The windows of ``size`` words of ``held`` that can match a notice: with a word of each group, and
+    enough of its shares."""
+    some = f"split('{' '.join(groups[0])}', ' ')"
+    hits = f"filter(transform(held, (w, i) -> if(array_contains({some}, w), i + 1, NULL)), i -> i IS NOT NULL)"
+    starts = f"array_distinct(flatten(transform({hits}, i -> sequence(greatest(i - {size - 1}, 1), i))))"
+    weight = "map(" + ", ".join(f"'{w}', {float(x)!r}D" for w, x in shares.items()) + ")"
+    worth = f"aggregate(array_distinct(slice(held, at, {size})), 0.0D, (total, w) -> total + coalesce({weight}[w], 0.0D))"
+    near = f"filter({starts}, at -> {worth} >= {threshold**2 - 1e-4!r}D)"
+    return f"transform(if({every_group('held', groups)}, {near}, cast(array() AS array<int>)), at -> {part('at', f'slice(held, at, {size})')})"
 
 
 def licences(templates: dict[str, str]) -> list[str]:
@@ -209,8 +235,8 @@ def _descending(licence: Column, order: list[str]) -> Column:
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """file, path, licence, score, found (own, inherited or none), from_dir of each row (file, path, text)."""
-    own = own_licences(files.where("file is not null").select("file", "path", "text"), templates, threshold)
-    known = materialize(files.select("file", "path", parent(F.col("path")).alias("dir")).join(own, "file", "left"), "known")
+    own = own_licences(files.select("file", "path", "text"), templates, threshold)
+    known = materialize(files.select("file", "path", parent(F.col("path")).alias("dir"), *row_ids()).join(own, ["id", "tid"], "left").drop("id", "tid"), "known")
     givers = known.where(is_licence_file(F.col("path")) & F.col("licence").isNotNull())
     best = F.max_by(F.struct("licence", "score"), F.struct("score", _descending(F.col("licence"), licences(templates))))
     giving = givers.groupBy("dir").agg(best.alias("best")).select(F.col("dir").alias("up"), "best.licence", "best.score")
