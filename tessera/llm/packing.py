@@ -5,12 +5,12 @@ large lengths are put in groups of equal cardinality and rounded up to their gro
 packing of the few sizes is optimised over configurations (column generation, then rounding);
 actual lengths take the places of the rounded ones, and the small lengths go in by best fit. The
 plan counts bins, not documents: its size depends on the capacity, not on the corpus. Pieces find
-their place by their ordinal among the pieces of their length, dealt over buckets so that a length
-that most pieces have is no single group.
+their place by their ordinal among the pieces of their length, dealt over buckets by row (not by content) so
+that a length, or a text, that most pieces have is no single group.
 
 Defined results: a null or empty text is the end id alone; only documents over the capacity are cut,
-the first piece being the short one; repeated rows and ids are separate documents; an empty table
-gives no rows; further columns are ignored.
+the first piece being the short one; very long texts are read whole; repeated rows and ids are separate
+documents; ids may be null; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, tune_arrow
 
 CAPACITY, END_ID = 1024, 2
+TRIED = 64
 Batch = tuple[dict[int, int], int, int]  # lengths of a bin with their counts, number of such bins, room left
 
 
 class Encoder:
     """ids of a ``tokenizers`` file. Byte-level BPE files whose ids are merge ranks are run by
-    tiktoken on the same vocabulary, which gives the same ids several times as fast; whether it
-    does is tried at the start, and texts with added tokens always go through ``tokenizers``."""
+    tiktoken on the same vocabulary, which gives the same ids several times as fast. Whether it
+    does is tried at the start and on the first and each ``TRIED``-th text of every batch; a batch with a
+    difference, and texts with added tokens, go through ``tokenizers`` alone."""
 
     PROBE = "It's 12 o'clock,\n\n  naïve Ünïcode — 漢字 \t ok!! x y  "
 
@@ -67,6 +69,12 @@ class Encoder:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        out = [self.ids(t) for t in texts]
+        if self.fast is not None and any(self.slow.encode(texts[i], add_special_tokens=False).ids != out[i].tolist() for i in range(0, len(texts), TRIED)):
+            return [np.array(self.slow.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+        return out
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -78,18 +86,20 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id if None), piece, start, length, ids_crc32 of each piece."""
+    """Columns ``keep`` (doc_id if None), piece, start, length, ids_crc32 of each piece, and ``__deal``, a
+    number by which the rows are dealt evenly."""
     tune_arrow(docs.sparkSession)
     keep = keep or ["doc_id"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, dealt = encoder(tokenizer), TaskContext.get().partitionId() * 7919
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            texts = b.column("__text")
-            for i in range(b.num_rows):
-                ids = np.append(enc.ids(texts[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(enc.batch([t or "" for t in b.column("__text").to_pylist()])):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 total = len(ids)
                 at, n = 0, 0
                 while at < total:
@@ -101,9 +111,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     crc.append(zlib.crc32(ids[at : at + take].tobytes()))
                     at, n = at + take, n + 1
             pick = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in keep), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[*keep, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in keep), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(dealt, dealt + len(row)))], names=[*keep, "piece", "start", "length", "ids_crc32", "__deal"])
+            dealt += len(row)
 
-    return docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text")).mapInArrow(run, f"{fields}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text")).mapInArrow(run, f"{fields}, piece int, start long, length long, ids_crc32 long, __deal long")
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -227,40 +238,39 @@ def _best_fit(batches: list[Batch], counts: dict[int, int], capacity: int) -> li
     return [b for bs in rooms.values() for b in bs if b[0]]
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, group_counts: tuple[int, ...] = (12, 24, 48), limits: tuple[int, ...] = (8, 4)) -> list[Batch]:
+def _groups(large: list[tuple[int, int]], n_groups: int) -> dict[int, list[list[int]]]:
+    """Lengths, longest first, in groups of equal cardinality: runs [length, count] by the group's largest."""
+    each = -(-sum(c for _, c in large) // n_groups)
+    sizes: dict[int, list[list[int]]] = {}
+    top, held = 0, each
+    for k, c in large:
+        while c:
+            if held == each:
+                top, held = k, 0
+            take = min(c, each - held)
+            sizes.setdefault(top, []).append([k, take])  # groups whose largest length is the same are one size
+            held, c = held + take, c - take
+    return sizes
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, group_counts: tuple[int, ...] = (128, 256), limits: tuple[int, ...] = (4, 3)) -> list[Batch]:
     """Bins for a histogram of lengths. Tries a few numbers of groups and limits between small and
-    large (capacity // limit), and returns the plan of fewest bins."""
+    large (capacity // limit), and returns the plan of fewest bins. Every plan groups its large lengths."""
     full = [({capacity: 1}, counts[capacity], 0)] if counts.get(capacity) else []
     rest = {k: c for k, c in counts.items() if 0 < k < capacity and c}
     best: list[Batch] | None = None
-    tried = [(g, lim) for g in group_counts for lim in limits]
-    for n_groups, limit in [*tried, (0, 1)]:
-        large = sorted(((k, c) for k, c in rest.items() if k > capacity // limit), reverse=True) if n_groups else []
-        small = {k: c for k, c in rest.items() if not large or k <= capacity // limit}
-        made: list[Batch] = []
-        if large:
-            total = sum(c for _, c in large)
-            each = -(-total // n_groups)
-            groups: list[list[list[int]]] = [[]]
-            held = 0
-            for k, c in large:
-                while c:
-                    take = min(c, each - held)
-                    groups[-1].append([k, take])
-                    held, c = held + take, c - take
-                    if held == each:
-                        groups.append([])
-                        held = 0
-            groups = [g for g in groups if g]
-            sizes: dict[int, list[list[int]]] = {}
-            for g in groups:  # groups whose largest length is the same are one size
-                sizes.setdefault(g[0][0], []).extend(g)
-            order = sorted(sizes, reverse=True)
-            demand = np.array([sum(c for _, c in sizes[s]) for s in order])
-            made = _substitute([sizes[s] for s in order], configurations(np.array(order), demand, capacity), capacity)
-        made = _best_fit(made, small, capacity)
-        if best is None or sum(b[1] for b in made) < sum(b[1] for b in best):
-            best = made
+    for n_groups in group_counts:
+        for limit in limits:
+            large = sorted(((k, c) for k, c in rest.items() if k > capacity // limit), reverse=True)
+            made: list[Batch] = []
+            if large:
+                sizes = _groups(large, n_groups)
+                order = sorted(sizes, reverse=True)
+                demand = np.array([sum(c for _, c in sizes[s]) for s in order])
+                made = _substitute([sizes[s] for s in order], configurations(np.array(order), demand, capacity), capacity)
+            made = _best_fit(made, {k: c for k, c in rest.items() if k <= capacity // limit}, capacity)
+            if best is None or sum(b[1] for b in made) < sum(b[1] for b in best):
+                best = made
     return full + (best or [])
 
 
@@ -278,20 +288,20 @@ def places(batches: list[Batch]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 50_000) -> DataFrame:
-    """``cut`` (materialised pieces, with a length) with sequence_id and offset."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 20_000) -> DataFrame:
+    """``cut`` (materialised pieces, with a length and ``__deal``) with sequence_id and offset."""
     spark = cut.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = places(plan_bins(counts, capacity))
     sent = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan))
     buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    dealt = cut.withColumn("__bucket", F.pmod(F.xxhash64(*[c for c in cut.columns if c != "__row"]), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("__bucket", F.pmod(F.xxhash64("__deal"), F.lit(buckets)).cast("int"))
     tally = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
     before = tally.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy("length", "__bucket").orderBy("ids_crc32", "start")
+    within = Window.partitionBy("length", "__bucket").orderBy("__deal")
     ranked = dealt.withColumn("__at", F.row_number().over(within)).join(before.select("length", "__bucket", F.coalesce("__before", F.lit(0)).alias("__before")), ["length", "__bucket"])
-    ready = ranked.select(*cut.columns, (F.col("__before") + F.col("__at") - 1).cast("long").alias("__ordinal"))
-    names = list(cut.columns)
+    names = [c for c in cut.columns if c != "__deal"]
+    ready = ranked.select(*names, (F.col("__before") + F.col("__at") - 1).cast("long").alias("__ordinal"))
     fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,30 @@ def test_plan_is_near_the_bound():
         assert len(made) < 6000
 
 
+def test_plans_come_from_groups(monkeypatch):
+    """Each plan puts the large lengths into configurations of rounded sizes first; it is near the bound."""
+    r = np.random.default_rng(4)
+    lengths = np.minimum(1023, r.lognormal(6, 0.8, 30_000).astype(int) + 1)
+    counts = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
+    seen = []
+    real = packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda sizes, demand, capacity: seen.append((len(sizes), int(demand.sum()))) or real(sizes, demand, capacity))
+    bins = sum(b[1] for b in packing.plan_bins(counts))
+    assert bins <= 1.005 * math.ceil(lengths.sum() / 1024)
+    assert [n for _, n in seen] == [int((lengths > 1024 // limit).sum()) for _ in range(2) for limit in (4, 3)] and all(2 <= g <= 256 for g, _ in seen)
+    sizes = packing._groups([(9, 5), (7, 3), (4, 4)], 4)
+    assert sizes == {9: [[9, 3], [9, 2], [7, 1]], 7: [[7, 2], [4, 1]], 4: [[4, 3]]}
+
+
+def test_batches_are_tried_against_the_tokenizer(monkeypatch):
+    enc = packing.Encoder(TOKENIZER)
+    texts = [f"text {i}" for i in range(70)]
+    want = [enc.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.batch(texts)] == want
+    enc.fast = type("Wrong", (), {"encode_ordinary": staticmethod(lambda t: [1])})()
+    assert [x.tolist() for x in enc.batch(texts)] == want
+
+
 def check_packing(rows, got, enc, capacity=1024):
     by, used = defaultdict(list), defaultdict(list)
     for r in got:
