@@ -1,14 +1,18 @@
 """Chat formatting of reply trees.
 
-Messages form trees (``msg_id``, ``parent_id``). Root-to-leaf paths are enumerated by iterative
-self-joins: the ancestor table is joined with itself, so that a round doubles the reach and a
-path of d messages takes log2(d) rounds. The branches of a tree are ranked by the sum of their
-messages' scores, and each chosen path becomes one formatted conversation with a loss mask.
+Messages form trees (``msg_id``, ``parent_id``). A table of jumps is joined with itself, so that each round
+doubles the reach: log2(depth) rounds give every message its depth and the score sum of its path. The
+branches of a tree are ranked by these sums, and the paths of the chosen ones are listed by the stored
+jumps, longest first, which names each message of a path once. Each path becomes one formatted
+conversation with a loss mask.
 
 Defined results: a null text or role is empty; a null ``score`` counts 0; a tree id may be null
-(one tree of its own); rows whose parent doesn't exist are roots; repeated rows of a linear
-conversation are separate turns, ordered by turn, role, text; an empty table gives an empty
-result; further columns are ignored. Messages on a cycle have no leaf and are in no path.
+(one tree of its own); rows whose parent doesn't exist are roots; of rows with one id in a tree the
+smallest (parent, role, text, score; nulls first) is the message; rows without an id are in no path;
+repeated rows of a linear conversation are separate turns, ordered by turn, role, text; very long texts
+and paths are formatted whole, a path in one task; of branches with equal sums those of smaller leaf ids
+go first; an empty table gives an empty result; further columns are ignored. Messages on a cycle, and
+those below one, have no root and are in no path.
 """
 
 from __future__ import annotations
@@ -68,45 +72,54 @@ def masked_text(formatted: str, spans: list[tuple[int, int]]) -> str:
 
 
 def linear_tree(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Messages of plain conversations as trees of one branch: each turn replies to the one before."""
+    """Messages of plain conversations as trees of one branch: each turn replies to the one before, and
+    counts as many characters as it has."""
     order = Window.partitionBy(conv).orderBy("turn", "role", "text")
     at = F.row_number().over(order).cast("long")
     return rows.select(F.col(conv).alias("tree_id"), at.alias("msg_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).select(
-        "tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score")
+        "tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.length("text").cast("double").alias("score")
     )
 
 
-def reply_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
+def unique_messages(messages: DataFrame) -> DataFrame:
+    """key, msg_id, tree_id, parent_id, role, text, score: one row per id and tree."""
+    said = messages.where("msg_id is not null").select(
+        F.to_json(F.struct("tree_id")).alias("key"), "msg_id", "tree_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")
+    )
+    one = F.min(F.struct("parent_id", "role", "text", "score", "tree_id")).alias("m")
+    return said.groupBy("key", "msg_id").agg(one).select("key", "msg_id", "m.tree_id", "m.parent_id", "m.role", "m.text", "m.score")
+
+
+def reply_paths(said: DataFrame, best: int | None = None) -> DataFrame:
     """(key, leaf, msg_id, back): the messages of each chosen path, ``back`` steps above the leaf.
 
-    ``messages`` has tree_id, msg_id, parent_id, score. ``best`` keeps that many branches of each
-    tree by score sum (ties to the smaller leaf id); None keeps all. No text is carried here.
+    ``said`` has key, msg_id (unique in its tree), parent_id, score. ``best`` keeps that many branches of
+    each tree; None keeps all. No text is carried here.
     """
-    edges = materialize(
-        messages.select(F.to_json(F.struct("tree_id")).alias("key"), "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "edges"
-    )
-    parents = edges.select("key", F.col("parent_id").alias("msg_id")).where("msg_id is not null").distinct()
-    leaves = edges.select("key", "msg_id").distinct().join(parents, ["key", "msg_id"], "left_anti")
-    here = edges.select("key", "msg_id").distinct()
-    jump = edges.where("parent_id is not null").select("key", "msg_id", F.col("parent_id").alias("up")).join(here.withColumnRenamed("msg_id", "up"), ["key", "up"], "left_semi").select("key", "msg_id", "up")
-    paths = materialize(leaves.select("key", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("back")), "paths")
-    jump, step = materialize(jump, "jump"), 1
-    rows = paths.count()
+    edges = materialize(said.select("key", "msg_id", "parent_id", "score"), "edges")
+    here = edges.select("key", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
+    parents = edges.where("parent_id is not null").select("key", F.col("parent_id").alias("msg_id")).distinct()
+    linked = edges.join(here, ["key", "parent_id"], "left").select("key", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
+    # total: the sum of scores from a message to below ``up``, which is 2**round messages above it
+    jumps, left = [materialize(linked, "jump", edges.rows)], None
     while True:
-        further = paths.join(jump, ["key", "msg_id"]).select("key", "leaf", F.col("up").alias("msg_id"), (F.col("back") + step).alias("back"))
-        paths = materialize(paths.unionByName(further), "paths")
-        now = paths.count()
-        if now == rows:
+        now = jumps[-1].where("up is not null").count()
+        if not now or now == left:  # a round that ends no message leaves only those of cycles
             break
-        rows, step = now, step * 2
-        up = jump.select("key", F.col("msg_id").alias("up"), F.col("up").alias("top"))
-        jump = materialize(jump.join(up, ["key", "up"]).select("key", "msg_id", F.col("top").alias("up")), "jump")
-    if best is None:
-        return paths
-    scored = paths.join(edges.select("key", "msg_id", "score"), ["key", "msg_id"]).groupBy("key", "leaf").agg(F.sum("score").alias("total"))
-    order = Window.partitionBy("key").orderBy(F.desc("total"), "leaf")
-    chosen = scored.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
-    return paths.join(chosen.select("key", "leaf"), ["key", "leaf"], "left_semi")
+        left, last = now, jumps[-1]
+        above = last.select("key", F.col("msg_id").alias("up"), F.col("up").alias("top"), F.col("total").alias("more"))
+        further = last.join(above, ["key", "up"], "left").select("key", "msg_id", F.col("top").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+        jumps.append(materialize(further, "jump", edges.rows))
+    ends = jumps[-1].where("up is null").join(parents, ["key", "msg_id"], "left_anti").select("key", F.col("msg_id").alias("leaf"), "total")
+    if best is not None:
+        order = Window.partitionBy("key").orderBy(F.desc("total"), "leaf")
+        ends = ends.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
+    paths = ends.select("key", "leaf", F.col("leaf").alias("msg_id"), F.lit(0).cast("long").alias("back"))
+    for round_ in reversed(range(len(jumps) - 1)):
+        at = materialize(paths, "paths")
+        jump = jumps[round_].where("up is not null").select("key", "msg_id", "up")
+        paths = at.unionByName(at.join(jump, ["key", "msg_id"]).select("key", "leaf", F.col("up").alias("msg_id"), (F.col("back") + (1 << round_)).alias("back")))
+    return paths
 
 
 _FORMATTED = "tree_id {kind}, leaf long, n_turns long, formatted string, loss_spans array<struct<start:long,stop:long>>"
@@ -116,10 +129,10 @@ def format_paths(messages: DataFrame, best: int | None = None, trained: str = "a
     """One row per chosen path: tree_id, leaf, n_turns, formatted text and its loss spans."""
     tune_arrow(messages.sparkSession)
     kind = messages.schema["tree_id"].dataType.simpleString()
-    paths = reply_paths(messages, best)
-    said = messages.select(F.to_json(F.struct("tree_id")).alias("key"), "tree_id", F.col("msg_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = materialize(unique_messages(messages), "said")
     whole = (
-        paths.join(said, ["key", "msg_id"])
+        reply_paths(said, best)
+        .join(said.select("key", "msg_id", "tree_id", "role", "text"), ["key", "msg_id"])
         .groupBy("key", "leaf")
         .agg(F.first("tree_id").alias("tree_id"), F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))).alias("turns"))
         .select("tree_id", F.col("leaf").cast("long").alias("leaf"), "turns.role", "turns.text")

@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, dealt = encoder(tokenizer), TaskContext.get().partitionId() * 7919
+        enc, dealt = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, found in enumerate(enc.batch([t or "" for t in b.column("__text").to_pylist()])):

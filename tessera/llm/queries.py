@@ -61,7 +61,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.digest_formatted(chat.format_paths(chat.linear_tree(said.unionByName(probe))))
+    return chat.digest_formatted(chat.format_paths(chat.linear_tree(said.unionByName(probe)), best=1))
 
 
 OP1_SQL = """

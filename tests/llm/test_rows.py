@@ -254,6 +254,21 @@ def test_reply_tree_branches(spark):
     assert sorted(str(r.leaf) for r in chat.format_paths(df, best=1).collect()) == ["1", "4", "9"]
 
 
+def test_reply_trees_odd_rows(spark):
+    """Cycles, with leaves below them, own parents, doubled and unnamed messages, a deep chain, equal scores."""
+    rows = [("c", 1, 2, 0.0), ("c", 2, 1, 0.0), ("c", 3, 2, 9.0), ("c", 4, 3, 0.0), ("c", 5, 5, 0.0), ("c", 6, 5, 0.0), ("c", 7, None, 1.0)]
+    rows += [("d", 1, None, 0.0)] * 3 + [("d", 2, 1, 1.0), ("d", 2, 1, 1.0), ("d", 3, 2, 1.0), ("d", None, 2, 5.0), ("d", 3, 1, 1.0)]
+    rows += [("deep", i, i - 1 if i else None, 1.0) for i in range(300)] + [("deep", 1000 + i, 100, 1.0) for i in range(3)] + [("e", 1, None, None), ("e", 3, 1, 2.0), ("e", 2, 1, 2.0), ("e", 4, 1, 1.0)]
+    df = spark.createDataFrame([(t, m, p, "user", f"m{m}", s, 0) for t, m, p, s in rows], "tree_id string, msg_id long, parent_id long, role string, text string, score double, back int")
+    got = {(r.tree_id, r.leaf): [t for _, t in chat.parse_formatted(r.formatted)] for r in chat.format_paths(df).collect()}
+    chain = [f"m{i}" for i in range(300)]
+    want = {("c", 7): ["m7"], ("d", 2): ["m1", "m2"], ("d", 3): ["m1", "m3"], ("deep", 299): chain} | {("deep", 1000 + i): [*chain[:101], f"m{1000 + i}"] for i in range(3)} | {("e", i): ["m1", f"m{i}"] for i in (2, 3, 4)}
+    assert got == want
+    first = lambda n: sorted((r.tree_id, r.leaf) for r in chat.format_paths(df, best=n).collect())
+    assert first(1) == [("c", 7), ("d", 2), ("deep", 299), ("e", 2)]
+    assert first(2) == [("c", 7), ("d", 2), ("d", 3), ("deep", 299), ("deep", 1000), ("e", 2), ("e", 3)]
+
+
 def test_conversations_odd_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "assistant", None), (None, 3, None, "x"), (2, 5, "assistant", "<|im_end|>")] + [(3, i, "user", str(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
