@@ -12,9 +12,31 @@ import numpy as np
 LEAST = 3  # samples in a bucket, and in an interval whose variance counts
 
 
+MOST = 6000  # points of a search over all pairs of cuts: its table has their square
+
+
+def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
+    """Maximum of each ``w`` consecutive values: two running maxima over tiles of w."""
+    n = len(x) - w + 1
+    if w == 1:
+        return x
+    if n == 1:
+        return x.max(keepdims=True)
+    tiles = -(-len(x) // w)
+    padded = np.full(tiles * w, -np.inf)
+    padded[: len(x)] = x
+    square = padded.reshape(tiles, w)
+    ahead = np.maximum.accumulate(square, axis=1).ravel()
+    behind = np.maximum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.maximum(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
 class BucketError:
-    """Largest approximate variance of the total over any interval inside a bucket, memoised.
+    """Largest approximate variance of the total over any interval inside a bucket.
 
+    All buckets of one size are worked out together, interval length by interval length. Longer
+    intervals are left out once they can't matter: an interval of q samples has a spread of n ss / q**2
+    at most, and its sum of squares ss is at most that of as many shorter intervals as cover it.
     ``share`` < 1 looks at that share of the sub-intervals only (a seeded choice), and always at the
     whole bucket.
     """
@@ -24,30 +46,50 @@ class BucketError:
         self.pos, self.m = np.asarray(pos, dtype=float), len(t)
         self.s = np.concatenate(([0.0], np.cumsum(t)))
         self.ss = np.concatenate(([0.0], np.cumsum(t * t)))
-        self.share, self.rng, self.memo = share, np.random.default_rng(seed), {}
+        self.share, self.seed = share, seed
+        self.memo: dict[int, np.ndarray] = {}
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]] = {}
 
     def __call__(self, a: int, b: int) -> float:
         """Of the bucket of samples a..b, both included."""
-        if (a, b) not in self.memo:
-            self.memo[a, b] = self._error(a, b)
-        return self.memo[a, b]
-
-    def _error(self, a: int, b: int) -> float:
-        n, rows = b - a + 1, self.pos[b] - self.pos[a]
-        if n < LEAST or rows <= 0:
-            return 0.0
-        if self.share < 1:
-            pairs = n * (n + 1) // 2
-            f, e = np.sort(self.rng.integers(a, b + 1, (2, int(self.rng.binomial(pairs, self.share)))), axis=0)
-            f, e = np.append(f, a), np.append(e, b)
-        else:
-            f, e = np.triu_indices(n)
-            f, e = f + a, e + a
-        ok = e >= f + LEAST - 1
-        f, e = f[ok], e[ok] + 1
-        q = (e - f).astype(float)
-        spread = (n * (self.ss[e] - self.ss[f]) - (self.s[e] - self.s[f]) ** 2) / (q * q)
-        return max(0.0, float(spread.max(initial=0.0)) * (1 / n) * (1 - n / rows))
+        return float(self.of_size(b - a + 1)[a])
+
+    def _intervals(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Sums and sums of squares of all intervals of q samples, and which of them are looked at."""
+        if q not in self.sums:
+            chosen = np.random.default_rng((self.seed, q)).random(self.m - q + 1) < self.share if self.share < 1 else None
+            self.sums[q] = (self.s[q:] - self.s[:-q], self.ss[q:] - self.ss[:-q], chosen)
+        return self.sums[q]
+
+    def of_size(self, n: int) -> np.ndarray:
+        """Errors of the buckets of n samples, by first sample."""
+        if n not in self.memo:
+            self.memo[n] = self._errors(n)
+        return self.memo[n]
+
+    def _errors(self, n: int) -> np.ndarray:
+        rows = self.pos[n - 1 :] - self.pos[: self.m - n + 1]
+        if n < LEAST:
+            return np.zeros(len(rows))
+        s, ss, _ = self._intervals(n)
+        best = np.maximum(0.0, (n * ss - s * s) / (n * n))
+        for q in range(LEAST, n if self.share > 0 else LEAST):
+            s, ss, chosen = self._intervals(q)
+            spread = (n * ss - s * s) / (q * q)
+            best = np.maximum(best, sliding_max(spread if chosen is None else np.where(chosen, spread, 0.0), n - q + 1))
+            if (2 * n / (q + 1) ** 2 * sliding_max(ss, n - q + 1) <= best).all():
+                break
+        return np.where(rows > 0, best / n * (1 - n / np.where(rows > 0, rows, 1)), 0.0).clip(0)
+
+    def table(self) -> np.ndarray:
+        """Error of the bucket of samples j..i-1 at [j, i]; infinite for less than ``LEAST`` samples."""
+        if self.m > MOST:
+            raise ValueError(f"{self.m} points; a search over all cuts takes {MOST} at most: lower the rate of points")
+        out = np.full((self.m + 1, self.m + 1), np.inf)
+        flat = out.ravel()
+        for n in range(LEAST, self.m + 1):
+            flat[n : n + (self.m - n + 1) * (self.m + 2) : self.m + 2] = self._errors(n)
+        return out
 
 
 def equal_depth(m: int, k: int) -> list[int]:
@@ -63,21 +105,15 @@ def worst(error: BucketError, cuts: list[int]) -> float:
 def minimax(error: BucketError, k: int) -> list[int] | None:
     """Cuts of k buckets, each of ``LEAST`` samples or more, with the least largest error: dynamic
     programming with back pointers. None if there are too few samples."""
-    m = error.m
-    if k < 1 or LEAST * k > m:
+    if k < 1 or LEAST * k > error.m:
         return None
-    best = np.full((k + 1, m + 1), np.inf)
-    back = np.zeros((k + 1, m + 1), dtype=int)
-    for i in range(LEAST, m + 1):
-        best[1, i] = error(0, i - 1)
-    for b in range(2, k + 1):
-        for i in range(LEAST * b, m + 1):
-            for j in range(LEAST * (b - 1), i - LEAST + 1):
-                if best[b - 1, j] < best[b, i]:  # a bucket can't improve on what is worse already
-                    cost = max(best[b - 1, j], error(j, i - 1))
-                    if cost < best[b, i]:
-                        best[b, i], back[b, i] = cost, j
-    return _unwind(back, k, m)
+    cost = error.table()
+    best, back = cost[0], []
+    for _ in range(2, k + 1):
+        worse = np.maximum(best[:, None], cost)
+        back.append(worse.argmin(axis=0))
+        best = worse.min(axis=0)
+    return _unwind(back, error.m)
 
 
 def minimax_fast(error: BucketError, k: int) -> list[int] | None:
@@ -86,33 +122,31 @@ def minimax_fast(error: BucketError, k: int) -> list[int] | None:
     m = error.m
     if k < 1 or LEAST * k > m:
         return None
-    best = np.full((k + 1, m + 1), np.inf)
-    back = np.zeros((k + 1, m + 1), dtype=int)
-    for i in range(LEAST, m + 1):
-        best[1, i] = error(0, i - 1)
+    cost = error.table()
+    ends = np.arange(m + 1)
+    best, back = cost[0], []
     for b in range(2, k + 1):
-        for i in range(LEAST * b, m + 1):
-            lo, hi = LEAST * (b - 1), i - LEAST
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if best[b - 1, mid] >= error(mid, i - 1):
-                    hi = mid
-                else:
-                    lo = mid + 1
-            for j in (lo - 1, lo):
-                if j >= LEAST * (b - 1):
-                    cost = max(best[b - 1, j], error(j, i - 1))
-                    if cost < best[b, i]:
-                        best[b, i], back[b, i] = cost, j
-    return _unwind(back, k, m)
-
-
-def _unwind(back: np.ndarray, k: int, m: int) -> list[int]:
+        lo, hi = np.full(m + 1, LEAST * (b - 1)), ends - LEAST
+        open_ = lo < hi
+        while open_.any():
+            mid = np.where(open_, (lo + hi) // 2, 0)
+            crossed = best[mid] >= cost[mid, ends]
+            hi, lo = np.where(open_ & crossed, mid, hi), np.where(open_ & ~crossed, mid + 1, lo)
+            open_ = lo < hi
+        tries = [np.clip(lo - 1, 0, m), np.clip(lo, 0, m)]
+        found = [np.maximum(best[j], cost[j, ends]) for j in tries]
+        left = found[0] < found[1]
+        back.append(np.where(left, *tries))
+        best = np.where(left, *found)
+    return _unwind(back, m)
+
+
+def _unwind(back: list[np.ndarray], m: int) -> list[int]:
     cuts, i = [], m
-    for b in range(k, 0, -1):
-        i = int(back[b, i]) if b > 1 else 0
+    for pointers in reversed(back):
+        i = int(pointers[i])
         cuts.append(i)
-    return cuts[::-1]
+    return [0, *reversed(cuts)]
 
 
 class SplitError:
@@ -165,12 +199,6 @@ def hill_climb(t: np.ndarray, k: int, rounds: int = 1000) -> list[int]:
     return cuts
 
 
-def intervals(x: np.ndarray, cuts: list[int]) -> list[tuple[float, float | None]]:
-    """Half-open value intervals [x[c], x[next c]) of the cuts; the last has no end."""
-    starts = [x[c] for c in cuts]
-    return [(a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)]
-
-
 def bucket_report(error: BucketError, cuts: list[int], z: float = 2.576) -> list[tuple[int, int, float, float]]:
     """(first sample, last sample, largest variance, half width of its interval) of each bucket."""
     ends = [*cuts[1:], error.m]
@@ -178,9 +206,7 @@ def bucket_report(error: BucketError, cuts: list[int], z: float = 2.576) -> list
 
 
 def dimension_error(values: list[np.ndarray], t: np.ndarray, pos: list[np.ndarray], share: float = 0.1, seed: int = 7) -> float:
-    """Error of a region: the mean over dimensions of the bucket error along it; 0 for 10 rows or fewer."""
-    if len(t) <= 10:
-        return 0.0
+    """Error of a region: the mean over dimensions of the bucket error along it."""
     total = 0.0
     for v, p in zip(values, pos, strict=True):
         order = np.argsort(v, kind="stable")

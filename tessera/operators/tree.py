@@ -24,6 +24,7 @@ class Node:
     parent_id: int | None = None
     children: list[Node] = field(default_factory=list)
     leaf: int | None = None
+    variance: dict[str, float] = field(default_factory=dict)  # of each target, for leaves
 
     def walk(self) -> list[Node]:
         return [self, *(x for c in self.children for x in c.walk())]
@@ -32,11 +33,12 @@ class Node:
         return [x for x in self.walk() if not x.children]
 
 
-def leaf_aggregates(df: DataFrame, leaf: str, dims: list[str], targets: list[str]) -> DataFrame:
-    """One row a leaf: cnt, lo/hi of each dimension, sum/min/max/avg of each target; one pass."""
+def leaf_aggregates(df: DataFrame, leaf: str, dims: list[str], targets: list[str], variance: bool = False) -> DataFrame:
+    """One row a leaf: cnt, lo/hi of each dimension, sum/min/max/avg (and var) of each target; one pass."""
     aggs = [F.count("*").alias("cnt")]
     aggs += [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
     aggs += [f(t).alias(f"{n}_{t}") for t in targets for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max), ("avg", F.avg))]
+    aggs += [F.var_samp(t).alias(f"var_{t}") for t in targets if variance]
     return df.groupBy(leaf).agg(*aggs)
 
 
@@ -49,14 +51,20 @@ def merge_up(leaves: DataFrame, parent: Column, dims: list[str], targets: list[s
     return out.withColumns({f"avg_{t}": F.col(f"sum_{t}") / F.col("cnt") for t in targets})
 
 
-def collect_leaves(df: DataFrame, leaf: str, dims: list[str], targets: list[str]) -> list[Node]:
-    """The leaves on the driver: as many as the partition has, a few thousand at most."""
-    rows = leaf_aggregates(df, leaf, dims, targets).orderBy(leaf).collect()
+def collect_leaves(df: DataFrame, leaf: str, dims: list[str], targets: list[str], most: int = 200_000) -> list[Node]:
+    """The leaves on the driver, which plans on them. More than ``most`` are an error, and are not collected."""
+    rows = leaf_aggregates(df, leaf, dims, targets, True).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} leaves: a coarser partition is needed")
+    rows.sort(key=lambda r: (r[leaf] is not None, r[leaf]))
     return [
-        Node(i, {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dims}, r["cnt"], {t: (r[f"sum_{t}"] or 0, r[f"min_{t}"], r[f"max_{t}"]) for t in targets}, leaf=r[leaf])
+        Node(
+            i, {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dims}, r["cnt"], {t: (r[f"sum_{t}"] or 0, r[f"min_{t}"], r[f"max_{t}"]) for t in targets},
+            leaf=r[leaf], variance={t: float(r[f"var_{t}"] or 0.0) for t in targets},
+        )
         for i, r in enumerate(rows)
         if all(r[f"lo_{d}"] is not None for d in dims)
-    ]
+    ]
 
 
 def merged(parts: list[Node]) -> Node:
@@ -146,7 +154,7 @@ def verify_leaves(root: Node, rows: int, tolerance: float = 1e-9) -> bool:
 def summary(root: Node) -> dict[str, float]:
     leaves = root.leaves()
     depths = [x.depth for x in leaves]
-    return {"nodes": len(root.walk()), "leaves": len(leaves), "min_depth": min(depths), "max_depth": max(depths), "largest_leaf": max(x.cnt for x in leaves)}
+    return {"nodes": len(root.walk()), "leaves": len(leaves), "min_depth": min(depths), "max_depth": max(depths), "largest_leaf": max(x.cnt for x in leaves), "max_variance": max((v for x in leaves for v in x.variance.values()), default=0.0)}
 
 
 def dump(root: Node) -> str:
@@ -160,7 +168,7 @@ def dump(root: Node) -> str:
 
 # persistence
 
-NODE_SCHEMA = "node_id int, parent_id int, depth int, is_leaf boolean, leaf int, cnt long, box map<string,struct<lo:double,hi:double>>, aggs map<string,struct<sum:double,min:double,max:double>>"
+NODE_SCHEMA = "node_id int, parent_id int, depth int, is_leaf boolean, leaf int, cnt long, box map<string,struct<lo:double,hi:double>>, aggs map<string,struct<sum:double,min:double,max:double>>, variance map<string,double>"
 
 
 def node_table(spark: SparkSession, root: Node) -> DataFrame:
@@ -168,7 +176,7 @@ def node_table(spark: SparkSession, root: Node) -> DataFrame:
     for x in root.walk():
         box = {d: (float(lo), float(hi)) for d, (lo, hi) in x.box.items()}
         aggs = {t: tuple(None if v is None else float(v) for v in a) for t, a in x.aggs.items()}
-        rows.append((x.node_id, x.parent_id, x.depth, not x.children, x.leaf, x.cnt, box, aggs))
+        rows.append((x.node_id, x.parent_id, x.depth, not x.children, x.leaf, x.cnt, box, aggs, x.variance))
     return spark.createDataFrame(rows, NODE_SCHEMA)
 
 
@@ -179,7 +187,7 @@ def save(spark: SparkSession, root: Node, path: str) -> None:
 def load(spark: SparkSession, path: str) -> Node:
     by = {}
     for r in spark.read.parquet(path).orderBy("depth", "node_id").collect():
-        by[r["node_id"]] = Node(r["node_id"], {d: (v["lo"], v["hi"]) for d, v in r["box"].items()}, r["cnt"], {t: (v["sum"], v["min"], v["max"]) for t, v in r["aggs"].items()}, r["depth"], r["parent_id"], leaf=r["leaf"])
+        by[r["node_id"]] = Node(r["node_id"], {d: (v["lo"], v["hi"]) for d, v in r["box"].items()}, r["cnt"], {t: (v["sum"], v["min"], v["max"]) for t, v in r["aggs"].items()}, r["depth"], r["parent_id"], leaf=r["leaf"], variance=dict(r["variance"] or {}))
         if r["parent_id"] is not None:
             by[r["parent_id"]].children.append(by[r["node_id"]])
     return next(x for x in by.values() if x.parent_id is None)

@@ -13,15 +13,16 @@ cut leaves), ``hybrid_uniform`` (exact leaves, uniform sample of the rest), ``bo
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.intervals import COVERED, Box
-from tessera.functions.moments import Z, half_width, padded_variance
+from tessera.functions.moments import Z, half_width, padded_variance, query_id, seed_of
 from tessera.operators import partition, tree
-from tessera.operators.sampling import proportional, ranked
+from tessera.operators.sampling import priority_limit, proportional, ranked
 
 RESULT = ("cnt", "sum", "avg", "ci_cnt", "ci_sum", "ci_avg", "min", "max", "delta_leaf_frac", "delta_row_frac")
 
@@ -41,7 +42,7 @@ class Plan:
 
 @dataclass
 class Synopsis:
-    df: DataFrame
+    df: DataFrame | None  # None: a stored synopsis, which answers from its samples
     key: str
     dims: list[str]
     target: str
@@ -51,6 +52,17 @@ class Synopsis:
     strict: bool = True
     stored: str | None = None  # where ranked samples of the leaves are kept
     kept: dict[int, int] = field(default_factory=dict)  # ranks kept there, by leaf
+    spec: dict | None = None  # of the assignment
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.df.sparkSession if self.df is not None else SparkSession.active()
+
+    @property
+    def table(self) -> DataFrame:
+        if self.df is None:
+            raise ValueError("this needs the table, or more ranks than the synopsis stores")
+        return self.df
 
     @property
     def rows(self) -> int:
@@ -65,14 +77,18 @@ class Synopsis:
         df = df.na.drop("any", subset=[key, *dims, target])
         split = None
         if how == "width" or how == "grid":
-            leaf = partition.equal_width(df, dims, leaves)
+            spec = partition.width_spec(df, dims, leaves)
         elif how.startswith("median_"):
-            sample = ranked(df, key, seed, F.lit(partition.MOST_POINTS)).select(*dims, target).toPandas().astype(float)
-            split = partition.median_tree(sample[dims].to_numpy(), sample[target].to_numpy(), leaves, how.removeprefix("median_"))
-            leaf = partition.by_tree(split, dims)
+            n, points = df.count(), max(10_000, partition.LEAF_POINTS * leaves)
+            sample = ranked(df, key, seed, F.lit(points), total=n, wanted=points).select(*dims, target).toPandas().astype(float)
+            split = partition.median_tree(sample[dims].to_numpy(), sample[target].to_numpy(), leaves, how.removeprefix("median_"), scale=max(1.0, n / max(1, len(sample))))
+            if len(sample) < n:
+                split = partition.exact_medians(df, dims, split)
+            spec = {"kind": "tree", "dims": dims, "root": split.spec()}
         else:
             points = partition.sample_points(df, key, dims[0], target, rate, seed)
-            leaf = partition.by_cuts(F.col(dims[0]), partition.choose_cuts(points, leaves, how)) if points.rows else F.lit(0)
+            spec = {"kind": "cuts", "dim": dims[0], "starts": partition.choose_cuts(points, leaves, how) if points.rows else [0]}
+        leaf = partition.assignment(spec)
         found = tree.collect_leaves(df.withColumn("__leaf", leaf), "__leaf", dims, [target])
         if split is not None:
             root = tree.split_tree(split, found)
@@ -82,23 +98,44 @@ class Synopsis:
             root = tree.pairwise_tree(found)
         if root is None:
             raise ValueError("no row without a null: nothing to summarise")
-        return cls(df, key, dims, target, leaf, root, seed, strict)
+        return cls(df, key, dims, target, leaf, root, seed, strict, spec=spec)
 
     def store(self, path: str, rate: float) -> Synopsis:
         """Write each leaf's first rows by rank (as many as any query at ``rate`` can ask of it), a folder
         a leaf. Queries then read the folders of the leaves that they cut, and not the table."""
         budget = int(self.rows * rate)
         self.kept = {int(x.leaf): min(x.cnt, budget) for x in self.root.leaves()}
-        wanted = self.df.sparkSession.createDataFrame(sorted(self.kept.items()), "__leaf int, most long")
+        sizes = {int(x.leaf): x.cnt for x in self.root.leaves()}
+        wanted = self.spark.createDataFrame([(i, n, sizes[i]) for i, n in sorted(self.kept.items())], "__leaf int, most long, size long")
         columns = dict.fromkeys([self.key, *self.dims, self.target])
-        rows = ranked(self.df.select(*columns, self.leaf.alias("__leaf")), self.key, self.seed, wanted, "__leaf")
+        rows = ranked(self.table.select(*columns, self.leaf.alias("__leaf")), self.key, self.seed, wanted, "__leaf")
         rows.repartition("__leaf", F.floor(F.col("rnk") / 1_000_000)).write.mode("overwrite").partitionBy("__leaf").parquet(path)
         self.stored = path
         return self
 
+    def save(self, path: str, rate: float | None = None) -> Synopsis:
+        """All of the synopsis in one folder: nodes, assignment, settings and, with a rate, the ranked samples."""
+        if self.spec is None:
+            raise ValueError("only a fitted synopsis can be saved")
+        if rate is not None:
+            self.store(f"{path}/strata", rate)
+        tree.save(self.spark, self.root, f"{path}/nodes")
+        meta = {"key": self.key, "dims": self.dims, "target": self.target, "seed": self.seed, "strict": self.strict, "spec": self.spec, "kept": sorted(self.kept.items()), "stored": "strata" if rate is not None else self.stored}
+        self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        return self
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, df: DataFrame | None = None) -> Synopsis:
+        """A saved synopsis in any session. With the table, it also answers what its samples don't hold."""
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        stored = f"{path}/strata" if meta["stored"] == "strata" else meta["stored"]
+        if df is not None:
+            df = df.na.drop("any", subset=[meta["key"], *meta["dims"], meta["target"]])
+        return cls(df, meta["key"], meta["dims"], meta["target"], partition.assignment(meta["spec"]), tree.load(spark, f"{path}/nodes"), meta["seed"], meta["strict"], stored, dict(meta["kept"]), meta["spec"])
+
     def check(self) -> bool:
         """The tree agrees with itself and with the table."""
-        return tree.verify_layers(self.root) and tree.verify_leaves(self.root, self.df.count())
+        return tree.verify_layers(self.root) and tree.verify_leaves(self.root, self.table.count())
 
     # planning
 
@@ -123,8 +160,9 @@ class Synopsis:
 
     # answering
 
-    def solve(self, queries: dict[str, Box], method: str = "hybrid", rate: float = 0.005, budget: int = 10_000_000, z: float = Z) -> DataFrame:
-        """query_id and the ten numbers of ``RESULT`` of each query."""
+    def solve(self, queries: dict[str, Box], method: str = "hybrid", rate: float = 0.005, budget: int = 10_000_000, z: float = Z, own_seeds: bool = False) -> DataFrame:
+        """query_id and the ten numbers of ``RESULT`` of each query. The queries of a batch share a sample; with
+        ``own_seeds`` (hybrid, stratified) each has one by its own seed, so that their errors are independent."""
         if method == "uniform":
             plans = {q: Plan(b) for q, b in queries.items()}
             return self._combine(plans, self._uniform(queries, None, rate), rate, z, sampled_bounds=True)
@@ -132,14 +170,14 @@ class Synopsis:
             every = [(x.leaf, x.cnt) for x in self.root.leaves()]
             n = proportional(every, int(self.rows * rate))
             plans = {q: Plan(b, cut=self.root.leaves()) for q, b in queries.items()}
-            return self._combine(plans, self._strata(plans, dict.fromkeys(queries, n)), None, z, sampled_bounds=True)
+            return self._combine(plans, self._strata(plans, dict.fromkeys(queries, n), own_seeds), None, z, sampled_bounds=True)
         plans = {q: self.plan(b, method == "hybrid_uniform", budget) for q, b in queries.items()}
         if method == "hybrid":
             n = {}
             for q, p in plans.items():
                 held = sum(x.cnt for x in p.cut)
                 n[q] = proportional([(x.leaf, x.cnt) for x in p.cut], min(int(self.rows * rate), held))
-            return self._combine(plans, self._strata(plans, n), None, z)
+            return self._combine(plans, self._strata(plans, n, own_seeds), None, z)
         if method == "hybrid_uniform":
             return self._combine(plans, self._uniform(queries, {q: [x.leaf for x in p.cut] for q, p in plans.items()}, rate), rate, z)
         raise ValueError(f"no method {method}")
@@ -167,11 +205,11 @@ class Synopsis:
         for q, box in sorted(queries.items()):
             nodes = [x for x in (self.root.leaves() if leaves_only else tree.frontier(self.root, box, budget, self.strict)) if tree.relate(box, x, self.strict) >= COVERED]
             rows.append((q, sum(x.cnt for x in nodes), float(sum(x.aggs[self.target][0] for x in nodes))))
-        return self.df.sparkSession.createDataFrame(rows, "query_id string, cnt long, sum double")
+        return self.spark.createDataFrame(rows, "query_id string, cnt long, sum double")
 
     def _asked(self, rows: list[tuple], columns: str) -> DataFrame:
         dims = "".join(f", lo_{i} double, hi_{i} double" for i in range(len(self._dims_of)))
-        return F.broadcast(self.df.sparkSession.createDataFrame(rows, columns + dims))  # bounded by queries x leaves
+        return F.broadcast(self.spark.createDataFrame(rows, columns + dims))  # bounded by queries x leaves
 
     def _limits(self, box: Box) -> tuple:
         return tuple(None if d not in box else float(x) for d in self._dims_of for x in box.get(d, (0, 0)))
@@ -185,11 +223,13 @@ class Synopsis:
     def _set_dims(self, boxes: list[Box]) -> None:
         self._dims_of = sorted({d for b in boxes for d in b})
 
-    def _strata(self, plans: dict[str, Plan], n: dict[str, dict[int, int]]) -> DataFrame:
+    def _strata(self, plans: dict[str, Plan], n: dict[str, dict[int, int]], own_seeds: bool = False) -> DataFrame:
         """Per query and leaf: N, n, matching rows k, their sum and sum of squares, min and max."""
-        spark = self.df.sparkSession
+        spark = self.spark
         self._set_dims([p.box for p in plans.values()])
         rows = [(q, x.leaf, x.cnt, n[q].get(x.leaf, 0), *self._limits(p.box)) for q, p in sorted(plans.items()) for x in p.cut if n[q].get(x.leaf, 0) > 0]
+        if own_seeds:
+            return self._own_strata(rows, plans)
         most: dict[int, int] = {}
         for r in rows:
             most[r[1]] = max(most.get(r[1], 0), r[3])
@@ -198,19 +238,34 @@ class Synopsis:
         if self.stored and set(self._dims_of) <= set(self.dims) and all(n <= self.kept.get(int(x), -1) for x, n in most.items()):
             sample = spark.read.parquet(self.stored).where(cut).where(F.col("rnk") <= max(most.values(), default=0))
         else:
-            wanted = spark.createDataFrame(sorted(most.items()), "__leaf int, most long")
-            data = self.df.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf")).where(cut)
+            sizes = {x.leaf: x.cnt for p in plans.values() for x in p.cut}
+            wanted = spark.createDataFrame([(i, m, sizes[i]) for i, m in sorted(most.items())], "__leaf int, most long, size long")
+            data = self.table.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf")).where(cut)
             sample = ranked(data, self.key, self.seed, wanted, "__leaf")
-        t = F.col(self.target).cast("double")
         hit = sample.join(asked, "__leaf").where((F.col("rnk") <= F.col("n")) & self._inside())
+        return self._sums(hit)
+
+    def _own_strata(self, rows: list[tuple], plans: dict[str, Plan]) -> DataFrame:
+        """The same, a row's priority depending on the query: rows meet the queries that cut their leaf."""
+        seeds = {q: str(seed_of(query_id(p.box))) for q, p in plans.items()}
+        limited = [(*r[:4], seeds[r[0]], priority_limit(r[3], r[2]), *r[4:]) for r in rows]
+        asked = self._asked(limited, "query_id string, __leaf int, big_n long, n long, seed string, limit string")
+        data = self.table.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf"))
+        drawn = data.join(asked, "__leaf").withColumn("__u", F.md5(F.concat("seed", F.lit(":"), F.col(self.key).cast("string"))))
+        drawn = drawn.where(F.col("limit").isNull() | (F.col("__u") < F.col("limit")))
+        at = F.row_number().over(Window.partitionBy("query_id", "__leaf").orderBy("__u", self.key))
+        return self._sums(drawn.withColumn("rnk", at).where((F.col("rnk") <= F.col("n")) & self._inside()))
+
+    def _sums(self, hit: DataFrame) -> DataFrame:
+        t = F.col(self.target).cast("double")
         return hit.groupBy("query_id", "__leaf").agg(F.first("big_n").alias("big_n"), F.first("n").alias("n"), F.count("*").alias("k"), F.sum(t).alias("s"), F.sum(t * t).alias("ss"), F.min(t).alias("least"), F.max(t).alias("most"))
 
     def _uniform(self, queries: dict[str, Box], leaves: dict[str, list[int]] | None, rate: float) -> DataFrame:
         """Per query (one stratum): the whole sample's n, matching k, s, ss, min and max."""
         self._set_dims(list(queries.values()))
         size = int(self.rows * rate + 0.5)
-        data = self.df.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf"))
-        sample = ranked(data, self.key, self.seed, F.lit(size))
+        data = self.table.select(self.key, *dict.fromkeys([*self._dims_of, self.target]), self.leaf.alias("__leaf"))
+        sample = ranked(data, self.key, self.seed, F.lit(size), total=self.rows, wanted=size)
         t = F.col(self.target).cast("double")
         if leaves is None:
             joined = sample.join(self._asked([(q, *self._limits(b)) for q, b in sorted(queries.items())], "query_id string"), self._inside())
@@ -222,7 +277,7 @@ class Synopsis:
 
     def _combine(self, plans: dict[str, Plan], parts: DataFrame, rate: float | None, z: float, sampled_bounds: bool = False) -> DataFrame:
         """Exact totals and the estimate of the cut leaves."""
-        leaves, spark = len(self.root.leaves()), self.df.sparkSession
+        leaves, spark = len(self.root.leaves()), self.spark
         fixed = [
             (q, int(p.cnt), float(p.sum), None if sampled_bounds or p.least is None else float(p.least), None if sampled_bounds or p.most is None else float(p.most), len(p.cut) / leaves, sum(x.cnt for x in p.cut) / self.rows if self.rows else 0.0)
             for q, p in sorted(plans.items())

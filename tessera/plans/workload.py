@@ -10,48 +10,69 @@ from tessera.operators.exact import batch_aggregate
 from tessera.operators.sampling import ranked
 
 
-def random_boxes(df: DataFrame, key: str, dims: list[str], n: int, seed: str) -> dict[str, Box]:
-    """n candidates: the box around two random rows each; those of one value in a dimension are out."""
-    rows = ranked(df.select(key, *dims), key, seed, F.lit(2 * n)).orderBy("rnk").collect()  # 2 n rows
+TRIES = 16  # pairs of rows that are drawn for each query wanted, at most
+
+
+def _pairs(df: DataFrame, key: str, dims: list[str], pairs: int, seed: str, total: int) -> tuple[dict[str, Box], bool]:
+    """Boxes around the first pairs of rows in the seed's order, without those of one value in a dimension;
+    whether the table has no more rows."""
+    rows = ranked(df.select(key, *dims), key, seed, F.lit(2 * pairs), total=total, wanted=2 * pairs).orderBy("rnk").collect()
     out = {}
     for i in range(len(rows) // 2):
         a, b = rows[2 * i], rows[2 * i + 1]
         box = {d: (int(min(a[d], b[d])), int(max(a[d], b[d]))) for d in dims}
         if all(lo != hi for lo, hi in box.values()):
             out[f"q{i:05d}"] = box
-    return out
+    return out, len(rows) < 2 * pairs
 
 
-def random_workload(df: DataFrame, key: str, dims: list[str], target: str, n: int, seed: str, least: int = 20) -> DataFrame:
-    """query_id, box limits and exact answers of the candidates with ``least`` matching rows or more."""
-    boxes = random_boxes(df, key, dims, n, seed)
-    answers = batch_aggregate(df, boxes, target).where(F.col("cnt") >= least)
-    limits = df.sparkSession.createDataFrame([(q, *(x for d in dims for x in b[d])) for q, b in boxes.items()], "query_id string, " + ", ".join(f"lo_{d} long, hi_{d} long" for d in dims))
+def random_boxes(df: DataFrame, key: str, dims: list[str], n: int, seed: str) -> dict[str, Box]:
+    """n boxes around two random rows each; a box of one value in a dimension is drawn again. Fewer only if
+    ``TRIES`` times as many pairs, or all rows, don't give more."""
+    total, pairs = df.count(), n
+    while True:
+        out, all_ = _pairs(df, key, dims, pairs, seed, total)
+        if len(out) >= n or all_ or pairs >= TRIES * n:
+            return dict(list(out.items())[:n])
+        pairs *= 2
+
+
+def random_workload(df: DataFrame, key: str, dims: list[str], target: str, n: int, seed: str, least: int = 20, source: DataFrame | None = None) -> DataFrame:
+    """query_id, box limits and exact answers of n queries with ``least`` matching rows or more, in the order
+    of their draws; others are drawn again as in ``random_boxes``. End points are from ``source`` (``df``)."""
+    source = df if source is None else source
+    total, pairs = source.count(), n
+    while True:
+        boxes, all_ = _pairs(source, key, dims, pairs, seed, total)
+        answers = batch_aggregate(df, boxes, target).where(F.col("cnt") >= least)
+        good = sorted(r["query_id"] for r in answers.select("query_id").collect())
+        if len(good) >= n or all_ or pairs >= TRIES * n:
+            break
+        pairs *= 2
+    kept = good[:n]
+    limits = df.sparkSession.createDataFrame([(q, *(x for d in dims for x in boxes[q][d])) for q in kept], "query_id string, " + ", ".join(f"lo_{d} long, hi_{d} long" for d in dims))
     return limits.join(answers, "query_id")
 
 
 def window_workload(df: DataFrame, key: str, dims: list[str], target: str, n: int, seed: str, low, high, least: int = 20) -> DataFrame:
     """The same with end points from rows of a window on the first dimension only."""
-    boxes = random_boxes(df.where(F.col(dims[0]).between(low, high)), key, dims, n, seed)
-    answers = batch_aggregate(df, boxes, target).where(F.col("cnt") >= least)
-    limits = df.sparkSession.createDataFrame([(q, *(x for d in dims for x in b[d])) for q, b in boxes.items()], "query_id string, " + ", ".join(f"lo_{d} long, hi_{d} long" for d in dims))
-    return limits.join(answers, "query_id")
+    return random_workload(df, key, dims, target, n, seed, least, df.where(F.col(dims[0]).between(low, high)))
 
 
-def every_interval(df: DataFrame, p: str, target: str, least: int = 5, most_values: int = 2000) -> DataFrame:
+def every_interval(df: DataFrame, p: str, target: str, least: int = 5, block: int = 1000) -> DataFrame:
     """lo, hi, cnt, sum of each interval of the domain's values with hi >= lo + 2 and ``least`` rows.
 
-    From prefix sums over the distinct values, which must be few (the result is their square).
+    From prefix sums over the distinct values; these meet by blocks, so that a task has a block of lower
+    and one of upper ends. (The result is the square of the values; the window has a row a value.)
     """
-    by = df.groupBy(F.col(p).alias("v")).agg(F.count("*").alias("n"), F.sum(target).alias("s"))
-    values = by.count()
-    if values > most_values:
-        raise ValueError(f"{values} distinct values; {most_values} at most")
+    by = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("v")).agg(F.count("*").alias("n"), F.sum(target).alias("s"))
     order = Window.orderBy("v")
-    run = by.select("v", F.sum("n").over(order).alias("cn"), F.sum("s").over(order).alias("cs"), "n", "s")
-    a, b = run.alias("a"), run.alias("b")
-    out = a.join(F.broadcast(b), F.col("b.v") >= F.col("a.v") + 2)
-    return out.select(F.col("a.v").alias("lo"), F.col("b.v").alias("hi"), (F.col("b.cn") - F.col("a.cn") + F.col("a.n")).alias("cnt"), (F.col("b.cs") - F.col("a.cs") + F.col("a.s")).alias("sum")).where(F.col("cnt") >= least)
+    run = by.select("v", F.sum("n").over(order).alias("cn"), F.sum("s").over(order).alias("cs"), "n", "s", F.floor((F.row_number().over(order) - 1) / block).alias("block"))
+    last = by.count() // block
+    a = run.select(F.col("v").alias("lo"), (F.col("cn") - F.col("n")).alias("under"), (F.col("cs") - F.col("s")).alias("below"), F.explode(F.sequence("block", F.lit(last).cast("long"))).alias("block"))
+    b = run.select(F.col("v").alias("hi"), "cn", "cs", "block")
+    out = a.join(b, "block").where(F.col("hi") >= F.col("lo") + 2)
+    return out.select("lo", "hi", (F.col("cn") - F.col("under")).alias("cnt"), (F.col("cs") - F.col("below")).alias("sum")).where(F.col("cnt") >= least)
 
 
 def random_predicates(spark: SparkSession, n: int, low: int, high: int, seed: str) -> DataFrame:
@@ -69,8 +90,8 @@ def special_query(p: str = "p") -> dict[str, Box]:
 
 
 def refresh(df: DataFrame, workload: DataFrame, dims: list[str], target: str) -> DataFrame:
-    """Exact answers of a stored workload (query_id, lo_d, hi_d) anew."""
-    boxes = {r["query_id"]: {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dims} for r in workload.collect()}
+    """Exact answers of a stored workload (query_id, lo_d, hi_d) anew. The queries are planned on the driver."""
+    boxes = {r["query_id"]: {d: (r[f"lo_{d}"], r[f"hi_{d}"]) for d in dims} for r in workload.select("query_id", *(f"{e}_{d}" for d in dims for e in ("lo", "hi"))).toLocalIterator()}
     return batch_aggregate(df, boxes, target)
 
 

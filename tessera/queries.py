@@ -231,7 +231,7 @@ def median_nodes_2d(spark: SparkSession, sf: str) -> DataFrame:
 
 _POINTS = """base AS ({base}), big AS (SELECT count(*) AS n FROM base),
      rk AS (SELECT *, row_number() OVER (ORDER BY md5('12345:' || key), key) AS rnk, row_number() OVER (ORDER BY p, key) AS first, row_number() OVER (ORDER BY p DESC, key DESC) AS last FROM base),
-     pick AS (SELECT key, p, t FROM rk, big WHERE rnk <= least(10000, CAST(floor(n * {rate}) AS BIGINT)) OR first = 1 OR last = 1 QUALIFY row_number() OVER (PARTITION BY p ORDER BY key DESC) = 1),
+     pick AS (SELECT key, p, t FROM rk, big WHERE rnk <= CAST(floor(n * {rate}) AS BIGINT) OR first = 1 OR last = 1 QUALIFY row_number() OVER (PARTITION BY p ORDER BY key DESC) = 1),
      pt AS (SELECT p, t, row_number() OVER (ORDER BY p) - 1 AS i, (SELECT count(*) FROM base b WHERE b.p <= pick.p) - 1 AS pos FROM pick)"""
 
 
@@ -256,10 +256,15 @@ def distinct_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     return merge.keep_last(axes.orders(spark, sf).select("p", "key", "t"), "p", ["key"])
 
 
-@query("SELECT lo, coalesce(lead(lo) OVER (ORDER BY lo) - 1, 1000) AS hi FROM (VALUES (0), (10), (250), (700)) v(lo)")
+@query(
+    f"WITH {_POINTS.format(base=ORD, rate=0.02)}, k AS (SELECT least(16, count(*)) AS k, count(*) AS m FROM pt), cuts AS (SELECT pt.p AS lo FROM k, range(0, 16) r(b), pt WHERE b < k AND pt.i = b * m // k) "
+    "SELECT lo, coalesce(lead(lo) OVER (ORDER BY lo) - 1, (SELECT max(p) FROM base)) AS hi FROM cuts"
+)
 def adjacent_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([(x,) for x in (0, 10, 250, 700)], "lo int")
-    return df.select("lo", F.coalesce(F.lead("lo").over(Window.orderBy("lo")) - 1, F.lit(1000)).alias("hi"))
+    """Whole-number intervals of an equal-depth partition."""
+    df = axes.orders(spark, sf)
+    starts = partition.choose_cuts(partition.sample_points(df, "key", "p", "t", 0.02), 16, "depth")
+    return partition.adjacent_intervals(spark.createDataFrame([(int(x),) for x in starts], "start long"), "start", partition.ranges(df, ["p"])["p"][1])
 
 
 # trees
@@ -289,10 +294,14 @@ def tree_verify(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(tree.verify_layers(s.root), tree.verify_leaves(s.root, df.count()), s.root.cnt, int(s.root.aggs["t"][0]))], "layers boolean, leaves boolean, cnt long, sum long")
 
 
-@query(f"WITH {leaves_sql(ORD, ['p'], 16)}, c AS (SELECT count(*) AS leaves, CAST(max(n) AS BIGINT) AS largest_leaf FROM node) SELECT leaves, CAST(2 * leaves - 1 AS BIGINT) AS nodes, largest_leaf FROM c")
+@query(f"""WITH RECURSIVE {leaves_sql(ORD, ['p'], 16)}, c AS (SELECT count(*) AS leaves, CAST(max(n) AS BIGINT) AS largest_leaf FROM node),
+     up AS (SELECT leaves AS n, 0 AS deep, 0 AS last FROM c UNION ALL SELECT (n + 1) // 2, deep + 1, last + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END FROM up WHERE n > 1),
+     v AS (SELECT max(v) AS v FROM (SELECT var_samp(t) AS v FROM l GROUP BY leaf))
+SELECT leaves, CAST(2 * leaves - 1 AS BIGINT) AS nodes, largest_leaf, CAST((SELECT max(last) FROM up) AS BIGINT) AS min_depth, CAST((SELECT max(deep) FROM up) AS BIGINT) AS max_depth, round((SELECT v FROM v) / 1e6, 3) AS max_variance FROM c""")
 def tree_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = tree.summary(Synopsis.fit(axes.orders(spark, sf), "key", ["p"], "t", 16, "width").root)
-    return spark.createDataFrame([(s["leaves"], s["nodes"], s["largest_leaf"])], "leaves long, nodes long, largest_leaf long")
+    row = (s["leaves"], s["nodes"], s["largest_leaf"], s["min_depth"], s["max_depth"], s["max_variance"] / 1e6)
+    return spark.createDataFrame([row], "leaves long, nodes long, largest_leaf long, min_depth long, max_depth long, max_variance double").withColumn("max_variance", F.round("max_variance", 3))
 
 
 @query(f"WITH {leaves_sql(EVT, ['d', 'p'], 3)} SELECT CAST(sum(n) AS BIGINT) AS cnt, min(lo_d) AS lo_d, max(hi_d) AS hi_d, min(lo_p) AS lo_p, max(hi_p) AS hi_p, CAST(sum(s) AS BIGINT) AS sum_t FROM node GROUP BY leaf // 4 // 2, leaf % 4 // 2")
@@ -333,17 +342,9 @@ def kd_variance_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 # errors of buckets, and cuts
 
-_SLICE = "SELECT key, p, t FROM (" + ORD + ") WHERE p <= 6"
-
-
-@query(f"SELECT key, p, t, row_number() OVER (ORDER BY p, key) - 1 AS pos, CAST(sum(t) OVER w AS BIGINT) AS s, CAST(sum(CAST(t AS HUGEINT) * t) OVER w AS BIGINT) AS ss FROM ({_SLICE}) WINDOW w AS (ORDER BY p, key ROWS UNBOUNDED PRECEDING)")
-def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.prefix_sums(axes.orders(spark, sf).where("p <= 6").select("key", "p", "t"), ["p", "key"], "t")
-
 
 @query("SELECT key, p, t, row_number() OVER (ORDER BY p, key) - 1 AS pos, CAST(sum(t) OVER w AS BIGINT) AS s, CAST(sum(CAST(t AS HUGEINT) * t) OVER w AS BIGINT) AS ss FROM (" + ORD + ") WINDOW w AS (ORDER BY p, key ROWS UNBOUNDED PRECEDING)")
-def prefix_sums_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the whole table."""
+def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
     return merge.prefix_sums(axes.orders(spark, sf).select("key", "p", "t"), ["p", "key"], "t")
 
 
@@ -365,8 +366,8 @@ def bucket_max_variance(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(round(error / 1e6, 2)),)], "error double")
 
 
-def _cuts(spark: SparkSession, sf: str, k: int, how: str, rate: float) -> DataFrame:
-    pts = partition.sample_points(axes.orders(spark, sf), "key", "p", "t", rate, most=400)
+def _cuts(spark: SparkSession, sf: str, k: int, how: str, rate: float = 0.02) -> DataFrame:
+    pts = partition.sample_points(axes.orders(spark, sf), "key", "p", "t", rate)
     starts = partition.choose_cuts(pts, k, how)
     cuts = [int(np.searchsorted(pts.x, s)) for s in starts]
     report = buckets.bucket_report(buckets.BucketError(pts.t, pts.pos), cuts)
@@ -375,27 +376,37 @@ def _cuts(spark: SparkSession, sf: str, k: int, how: str, rate: float) -> DataFr
 
 @query()
 def minimax_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf, 8, "minimax", 0.005)
+    return _cuts(spark, sf, 8, "minimax")
 
 
 @query()
 def minimax_sampled_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf, 8, "minimax_sampled", 0.005)
+    return _cuts(spark, sf, 8, "minimax_sampled")
 
 
 @query()
 def minimax_fast_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf, 8, "minimax_fast", 0.005)
+    return _cuts(spark, sf, 8, "minimax_fast")
 
 
 @query()
 def hill_climb_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf, 8, "climb", 0.02)
+    return _cuts(spark, sf, 8, "climb")
 
 
-@query()
+@query(
+    f"""WITH {_POINTS.format(base=ORD, rate=0.02)}, k AS (SELECT least(8, count(*)) AS k, count(*) AS m FROM pt),
+     cut AS (SELECT b, b * m // k AS a, (b + 1) * m // k - 1 AS z FROM k, range(0, 8) r(b) WHERE b < k),
+     own AS (SELECT b, i, p, pos, t, count(*) OVER (PARTITION BY b) AS n, max(pos) OVER (PARTITION BY b) - min(pos) OVER (PARTITION BY b) AS rows FROM pt JOIN cut ON i BETWEEN a AND z),
+     run AS (SELECT *, sum(CAST(t AS DOUBLE)) OVER w AS s, sum(CAST(t AS DOUBLE) * t) OVER w AS ss FROM own WINDOW w AS (PARTITION BY b ORDER BY i)),
+     v AS (SELECT e.b, max((e.n * (e.ss - f.ss + CAST(f.t AS DOUBLE) * f.t) - (e.s - f.s + f.t) * (e.s - f.s + f.t)) / ((e.i - f.i + 1.0) * (e.i - f.i + 1.0)) * (1.0 / e.n) * (1 - e.n / CAST(e.rows AS DOUBLE))) AS v
+           FROM run f JOIN run e ON e.b = f.b AND e.i >= f.i + 2 WHERE e.rows > 0 GROUP BY e.b),
+     o AS (SELECT own.b, min(p) AS lo, max(p) AS hi, greatest(coalesce(any_value(v.v), 0), 0) AS v FROM own LEFT JOIN v ON v.b = own.b GROUP BY own.b)
+SELECT CAST(b AS INTEGER) AS bucket, lo, hi, round(v / 1e6, 2) AS max_variance, round(2.576 * sqrt(v) / 1e3, 3) AS half_width FROM o"""
+)
 def equal_depth_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf, 8, "depth", 0.02)
+    """Variances in millions, half widths in thousands."""
+    return _cuts(spark, sf, 8, "depth").withColumns({"max_variance": F.round(F.col("max_variance") / 1e6, 2), "half_width": F.round(F.col("half_width") / 1e3, 3)})
 
 
 # samples
@@ -549,20 +560,44 @@ def error_tree_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.solve(EVENT_BOXES_2D, "hybrid", 0.1))
 
 
-@query("WITH e(g, value, variance) AS (VALUES ('a', 10.0, 4.0), ('a', 20.0, 1.0), ('b', 5.0, 0.0), ('b', 7.0, 2.0)), w AS (SELECT g, CAST(value AS DOUBLE) AS value, CAST(CASE WHEN variance > 0 THEN 1 / variance ELSE 0 END AS DOUBLE) AS w FROM e) SELECT g, round(sum(value * w) / sum(w), 8) AS value, round(1 / sum(w), 8) AS variance FROM w GROUP BY g")
+@query("WITH e AS (SELECT p % 11 AS g, CAST(t AS DOUBLE) AS value, CAST(p % 5 AS DOUBLE) AS variance FROM (" + ORD + ")), w AS (SELECT g, value, CASE WHEN variance > 0 THEN 1 / variance ELSE 0 END AS w FROM e) SELECT g, round(sum(value * w) / sum(w), 4) AS value, round(1 / sum(w), 8) AS variance FROM w GROUP BY g")
 def inverse_variance_mean(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([("a", 10.0, 4.0), ("a", 20.0, 1.0), ("b", 5.0, 0.0), ("b", 7.0, 2.0)], "g string, value double, variance double")
-    return merge.inverse_variance(df, "g", "value", "variance").withColumns({"value": F.round("value", 8), "variance": F.round("variance", 8)})
+    """Means of the order totals by group, each weighted by a variance that may be 0."""
+    df = axes.orders(spark, sf).select((F.col("p") % 11).alias("g"), F.col("t").cast("double").alias("value"), (F.col("p") % 5).cast("double").alias("variance"))
+    return merge.inverse_variance(df, "g", "value", "variance").withColumns({"value": F.round("value", 4), "variance": F.round("variance", 8)})
 
 
-@query()
+@query(
+    f"""WITH {leaves_sql(ORD, ["p"], 16)}, big AS (SELECT count(*) AS n FROM base),
+     ch AS (SELECT l.*, (row_number() OVER (ORDER BY md5('layers:' || key), key) - 1) // ((n + 2) // 3) AS layer FROM l, big),
+     st AS (SELECT layer, CASE layer WHEN 0 THEN 0 WHEN 1 THEN leaf // 4 ELSE leaf END AS stratum, CASE WHEN p BETWEEN 100 AND 900 THEN CAST(t AS DOUBLE) ELSE 0 END AS t FROM ch),
+     g AS (SELECT layer, stratum, count(*) AS n, sum(t) AS s, sum(t * t) AS ss FROM st GROUP BY ALL),
+     y AS (SELECT layer, sum(s * 3) AS value, sum((ss / n - (s / n) * (s / n)) * n * 9) AS variance FROM g GROUP BY layer),
+     w AS (SELECT value, CASE WHEN variance > 0 THEN 1 / variance ELSE 0 END AS w FROM y)
+SELECT round(sum(value * w) / sum(w) / 1e3, 2) AS value, round(1 / sum(w) / 1e9, 4) AS variance FROM w"""
+)
 def layered_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    """Each layer of the tree gets its own random third of the rows; the layers' sums are merged."""
+    """Each layer of the tree gets its own random third of the rows; the layers' sums are merged (in
+    thousands, the variance in thousand millions)."""
     df = axes.orders(spark, sf)
     chunks = sampling.equal_chunks(df, "key", 3, "layers", df.count())
     leaf = partition.equal_width(df, ["p"], 16)
-    strata = F.when(F.col("chunk") == 0, F.lit(0)).when(F.col("chunk") == 1, F.floor(leaf / 4)).otherwise(leaf)
-    return merge.layer_estimate(chunks.withColumn("stratum", strata), F.col("p").between(100, 900), "stratum", "chunk", "key", "t", 1 / 3)
+    samples = sampling.layer_samples(chunks, 3, {0: F.lit(0), 1: F.floor(leaf / 4), 2: leaf})
+    out = merge.layer_estimate(samples, F.col("p").between(100, 900), "stratum", "layer", "key", "t", 1 / 3)
+    return out.select(F.round(F.col("value") / 1e3, 2).alias("value"), F.round(F.col("variance") / 1e9, 4).alias("variance"))
+
+
+@query(f"WITH s AS ({_uniform_pick(EVT, 0.1, 'x')}), b(query_id, lo, hi) AS (VALUES ('a', 80000, 173000), ('none', 300000, 400000)), e AS (SELECT query_id, (SELECT sum(t) / 0.1 FROM s WHERE p BETWEEN lo AND hi) AS est, (SELECT sum(t) FROM ({EVT}) r WHERE r.p BETWEEN lo AND hi) AS gt FROM b) SELECT query_id, round(coalesce(abs(gt - est) / abs(gt), 1), 8) AS error FROM e")
+def scramble_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of SUMs over a scramble as those of an outside engine are counted: 1 where it has no answer."""
+    df = axes.events(spark, sf).select("key", "p", "t")
+    sample, out = sampling.uniform_sample(df, "key", 0.1, "x", df.count()), None
+    for q, (lo, hi) in {"a": (80000, 173000), "none": (300000, 400000)}.items():
+        here = F.col("p").between(lo, hi)
+        one = sampling.scramble_sum(sample, here, "t", 0.1).crossJoin(df.where(here).agg(F.sum("t").alias("gt")))  # a row each
+        one = one.select(F.lit(q).alias("query_id"), F.round(metrics.external_error("gt", "sum"), 8).alias("error"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # metrics over results
@@ -636,32 +671,42 @@ def union_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.solve_union({"u": [{"p": (100, 400)}, {"p": (700, 900)}]}, "uniform", 0.05)).select("query_id", "cnt", "sum", "ci_cnt", "ci_sum")
 
 
-@query()
+_UNION_STRATA = f"""WITH {leaves_sql(ORD, ["p"], 16)}, z AS (SELECT count(*) AS n_all, CAST(floor(count(*) * 0.05) AS BIGINT) AS take FROM base),
+     al AS (SELECT leaf, n AS big_n, take * n // n_all AS n FROM node, z),
+     rk AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY md5('tessera:' || key), key) AS rnk FROM l),
+     m AS (SELECT al.leaf, any_value(big_n) AS big_n, CAST(any_value(al.n) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(CAST(t AS DOUBLE)) AS s, sum(CAST(t AS DOUBLE) * t) AS ss FROM rk JOIN al ON al.leaf = rk.leaf AND rnk <= al.n
+           WHERE p BETWEEN 100 AND 400 OR p BETWEEN 700 AND 900 GROUP BY al.leaf),
+     e AS (SELECT sum(big_n * k / n) AS cnt, sum(big_n * s / n) AS sum, sum((k / n - (k / n) * (k / n)) * big_n * CAST(big_n AS DOUBLE) / n) AS v_cnt, sum((ss / n - (s / n) * (s / n)) * big_n * CAST(big_n AS DOUBLE) / n) AS v_sum FROM m)
+SELECT 'u' AS query_id, round(coalesce(cnt, 0), 4) AS cnt, round(coalesce(sum, 0), 3) AS sum, round(2.576 * sqrt(greatest(coalesce(v_cnt, 0), 0)), 3) AS ci_cnt, round(2.576 * sqrt(greatest(coalesce(v_sum, 0), 0)), 2) AS ci_sum FROM e"""
+
+
+@query(_UNION_STRATA)
 def union_estimate_stratified(spark: SparkSession, sf: str) -> DataFrame:
     s = _fit(spark, sf, "orders", ["p"], 16)
-    return rounded(s.solve_union({"u": [{"p": (100, 400)}, {"p": (700, 900)}]}, "stratified", 0.05))
+    return rounded(s.solve_union({"u": [{"p": (100, 400)}, {"p": (700, 900)}]}, "stratified", 0.05)).select("query_id", "cnt", "sum", "ci_cnt", "ci_sum")
 
 
 # workloads
 
 _WORK = """WITH base AS ({base}), src AS (SELECT * FROM base {where}), rk AS (SELECT p, row_number() OVER (ORDER BY md5('{seed}:' || key), key) AS r FROM src),
-     q AS (SELECT 'q' || lpad(CAST((a.r - 1) // 2 AS VARCHAR), 5, '0') AS query_id, least(a.p, b.p) AS lo_p, greatest(a.p, b.p) AS hi_p FROM rk a JOIN rk b ON b.r = a.r + 1 WHERE a.r % 2 = 1 AND b.r <= {rows} AND a.p <> b.p)
-SELECT q.query_id, lo_p, hi_p, count(*) AS cnt, CAST(sum(t) AS BIGINT) AS sum, round(avg(t), 5) AS avg, min(t) AS min, max(t) AS max FROM q JOIN base ON base.p BETWEEN lo_p AND hi_p GROUP BY ALL HAVING count(*) >= 20"""
+     q AS (SELECT 'q' || lpad(CAST((a.r - 1) // 2 AS VARCHAR), 5, '0') AS query_id, least(a.p, b.p) AS lo_p, greatest(a.p, b.p) AS hi_p FROM rk a JOIN rk b ON b.r = a.r + 1 WHERE a.r % 2 = 1 AND b.r <= 32 * {n} AND a.p <> b.p)
+SELECT q.query_id, lo_p, hi_p, count(*) AS cnt, CAST(sum(t) AS BIGINT) AS sum, round(avg(t), 5) AS avg, min(t) AS min, max(t) AS max FROM q JOIN base ON base.p BETWEEN lo_p AND hi_p GROUP BY ALL HAVING count(*) >= 20 ORDER BY query_id LIMIT {n}"""
 
 
-@query(_WORK.format(base=EVT, where="", seed="w1", rows=80))
+@query(_WORK.format(base=EVT, where="", seed="w1", n=40))
 def random_workload(spark: SparkSession, sf: str) -> DataFrame:
     return workload.random_workload(axes.events(spark, sf), "key", ["p"], "t", 40, "w1").withColumn("avg", F.round("avg", 5))
 
 
-@query(_WORK.format(base=EVT, where="WHERE p BETWEEN 120000 AND 130000", seed="w2", rows=80))
+@query(_WORK.format(base=EVT, where="WHERE p BETWEEN 120000 AND 130000", seed="w2", n=40))
 def challenging_workload(spark: SparkSession, sf: str) -> DataFrame:
     return workload.window_workload(axes.events(spark, sf), "key", ["p"], "t", 40, "w2", 120000, 130000).withColumn("avg", F.round("avg", 5))
 
 
-@query("WITH v AS (SELECT p, count(*) AS n, sum(t) AS s FROM (" + ORD + ") WHERE p <= 60 GROUP BY p), r AS (SELECT p, n, s, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs FROM v) SELECT a.p AS lo, b.p AS hi, CAST(b.cn - a.cn + a.n AS BIGINT) AS cnt, CAST(b.cs - a.cs + a.s AS BIGINT) AS sum FROM r a JOIN r b ON b.p >= a.p + 2 WHERE b.cn - a.cn + a.n >= 5")
+@query("WITH v AS (SELECT d AS p, count(*) AS n, sum(t) AS s FROM (" + EVT + ") GROUP BY d), r AS (SELECT p, n, s, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs FROM v) SELECT a.p AS lo, b.p AS hi, CAST(b.cn - a.cn + a.n AS BIGINT) AS cnt, CAST(b.cs - a.cs + a.s AS BIGINT) AS sum FROM r a JOIN r b ON b.p >= a.p + 2 WHERE b.cn - a.cn + a.n >= 5")
 def every_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.every_interval(axes.orders(spark, sf).where("p <= 60"), "p", "t")
+    """Of the dates of all events."""
+    return workload.every_interval(axes.events(spark, sf), "d", "t")
 
 
 @query("""WITH d AS (SELECT i, md5('rp:' || i) AS h FROM range(0, 50) r(i)), n AS (SELECT i, CAST(('0x' || substr(h, 1, 12)) AS BIGINT) % 1000 AS a, CAST(('0x' || substr(h, 13, 12)) AS BIGINT) % 999 AS b FROM d),

@@ -183,8 +183,13 @@ def test_runner_and_workloads(spark, table, tmp_path):
     assert {r.query_id: r["sum"] for r in workload.refresh(table, w, ["p"], "t").collect()} == pytest.approx({r.query_id: r["sum"] for r in w.collect()})
     assert workload.first_queries(w, 3).count() == 3
     assert workload.exact_by_sql(table, {"q": {"p": (1, 9)}}, "t")["q"] == pytest.approx(exact.range_aggregate(table, {"p": (1, 9)}, "t").first()["sum"])
-    with pytest.raises(ValueError, match="distinct"):
-        workload.every_interval(table, "p", "t", most_values=10)
+    few = {(r.lo, r.hi): (r.cnt, r["sum"]) for r in workload.every_interval(table, "q", "t", block=7).collect()}
+    assert len(few) == 98 * 99 // 2
+    for lo, hi in ((0, 99), (13, 15), (40, 77)):
+        cnt, total = table.where(F.col("q").between(lo, hi)).agg(F.count("*"), F.sum("t")).first()
+        assert few[lo, hi] == (cnt, pytest.approx(total))
+    assert len(workload.random_boxes(table, "key", ["q"], 400, "many")) == 400
+    assert workload.random_workload(table, "key", ["q"], "t", 60, "many").count() == 60
 
 
 def test_stored_samples_give_the_same_answers(spark, table, tmp_path):
@@ -193,7 +198,7 @@ def test_stored_samples_give_the_same_answers(spark, table, tmp_path):
     want = sorted(map(repr, s.solve(boxes, "hybrid", 0.02).collect()))
     s.store(str(tmp_path / "strata"), 0.02)
     got = s.solve(boxes, "hybrid", 0.02)
-    assert "PartitionFilters: [isnotnull(__leaf" in got._jdf.queryExecution().executedPlan().toString() or "strata" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.inputFiles() and all("/strata/__leaf=" in f for f in got.inputFiles())
     assert sorted(map(repr, got.collect())) == want
     assert s.solve(boxes, "hybrid", 1.0).count() == len(boxes)  # more than is kept: from the table
 
@@ -209,3 +214,66 @@ def test_prefix_sums_in_ranges(spark):
         assert got[key] == (pos, s, ss)
     assert "__range" in made._jdf.queryExecution().analyzed().toString()
     assert merge.prefix_sums(df.limit(0), ["p", "key"], "t").count() == 0
+
+
+def test_a_saved_synopsis_answers_without_the_table(spark, table, tmp_path):
+    boxes = workload.random_boxes(table, "key", ["p"], 10, "sv")
+    for how in ("width", "depth", "minimax_sampled", "median_error"):
+        s = Synopsis.fit(table, "key", ["p"], "t", 9, how, 0.05)
+        want = sorted(map(repr, s.solve(boxes, "hybrid", 0.02).collect()))
+        s.save(str(tmp_path / how), 0.02)
+        back = Synopsis.load(spark, str(tmp_path / how))
+        assert back.df is None and tree.summary(back.root) == tree.summary(s.root)
+        got = back.solve(boxes, "hybrid", 0.02)
+        assert sorted(map(repr, got.collect())) == want
+        with pytest.raises(ValueError, match="table"):
+            back.solve(boxes, "hybrid", 1.0)
+        again = Synopsis.load(spark, str(tmp_path / how), table)
+        assert again.check() and again.solve(boxes, "uniform", 0.02).count() == 10
+        leaf = lambda x: [r[0] for r in table.orderBy("key").limit(500).select(x.leaf).collect()]
+        assert leaf(again) == leaf(s)
+
+
+def test_queries_with_seeds_of_their_own(table):
+    s = Synopsis.fit(table, "key", ["p"], "t", 12, "depth", 0.05)
+    boxes = workload.random_boxes(table, "key", ["p"], 20, "own")
+    for rate, method in ((1.0, "hybrid"), (1.0, "stratified")):
+        for r in metrics.paired(s.solve(boxes, method, rate, own_seeds=True), exact.batch_aggregate(table, boxes, "t")).collect():
+            assert r["cnt"] == pytest.approx(r["gt_cnt"]) and r["sum"] == pytest.approx(r["gt_sum"])
+    box = {"p": (101, 702)}
+    assert len({r["sum"] for r in s.solve({"a": box, "b": box}, "hybrid", 0.02, own_seeds=True).collect()}) == 1
+    shifted = {"a": box, "b": {"p": (101, 703)}}
+    assert s.solve(shifted, "hybrid", 0.02).count() == 2
+
+
+def test_batches_meet_no_nested_loop(spark, table):
+    """Answers by cells and by parts are those of single queries, odd boxes included."""
+    boxes = {"a": {"p": (10, 20)}, "b": {"p": (20, 20)}, "c": {"p": (-5, 10**6)}, "d": {"p": (30, 25)}, "e": {"p": (2000, 3000)}, "f": {"p": (20, 30)}, "g": {"p": (10.5, 19.5)}}
+    two = {"a": {"p": (10, 400), "q": (3, 60)}, "b": {"q": (5, 5)}, "c": {"p": (399, 401)}, "d": {}, "e": {"p": (10**7, 10**8), "q": (0, 1)}}
+    nulls = table.unionByName(spark.createDataFrame([("x", None, 3, 1.0), ("y", 15, None, 2.0), ("z", 15, 15, None)], table.schema))
+    for some in (boxes, two):
+        got = {r.query_id: r for r in exact.batch_aggregate(nulls, some, "t").collect()}
+        assert set(got) == set(some)
+        for q, b in some.items():
+            want = exact.range_aggregate(nulls, b, "t").first()
+            assert all(got[q][c] == (pytest.approx(want[c]) if want[c] is not None else None) for c in ("cnt", "sum", "avg", "min", "max")), q
+        plan = exact.batch_aggregate(nulls, some, "t")._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scrambles_are_made_and_dropped(spark, table, tmp_path):
+    path = str(tmp_path / "scramble")
+    made = sampling.scramble(table, "key", 0.1, "s", 20_000, path)
+    assert made.count() == 2000 and sampling.scramble_sum(made, F.lit(True), "t", 0.1).first()["sum"] == pytest.approx(table.agg(F.sum("t")).first()[0], rel=0.1)
+    assert sampling.drop_scramble(spark, path) and not (tmp_path / "scramble").exists() and not sampling.drop_scramble(spark, path)
+
+
+def test_one_pass_ranks_are_those_of_two(spark, table):
+    rows = table.select("key", (F.col("p") % 3).alias("g"))
+    sizes = {r.g: r["count"] for r in rows.groupBy("g").count().collect()}
+    known = spark.createDataFrame([(g, m, sizes[g]) for g, m in ((0, 0), (1, 40), (2, 10**6))], "g long, most long, size long")
+    one = sampling.ranked(rows, "key", "s", known, "g")
+    two = sampling.ranked(rows, "key", "s", known.drop("size"), "g")
+    assert sorted(one.collect()) == sorted(two.select(one.columns).collect())
+    assert "__b" not in one._jdf.queryExecution().analyzed().toString()
+    assert sorted(sampling.ranked(rows, "key", "s", F.lit(70), total=20_000, wanted=70).collect()) == sorted(sampling.ranked(rows, "key", "s", F.lit(70)).collect())

@@ -118,5 +118,66 @@ def test_median_trees(spark, how):
     assert got == want.tolist()
 
 
+@pytest.mark.parametrize("k", [64, 128])
+def test_many_buckets_beat_equal_depth(k):
+    r = np.random.default_rng(3)
+    t = np.where(np.arange(1500) % 500 < 60, r.gamma(1, 500, 1500), r.gamma(2, 5, 1500))
+    e = buckets.BucketError(t, np.arange(1500) * 40)
+    pts = partition.Points(np.arange(1500), t, np.arange(1500) * 40, 60_000)
+    even = buckets.worst(e, buckets.equal_depth(1500, k))
+    for how in ("minimax", "minimax_fast", "minimax_sampled"):
+        cuts = partition.choose_cuts(pts, k, how)
+        if how == "minimax_sampled":  # by the intervals that it looks at
+            some = buckets.BucketError(t, np.arange(1500) * 40, 0.1)
+            assert len(cuts) == k and buckets.worst(some, cuts) < 0.8 * buckets.worst(some, buckets.equal_depth(1500, k))
+        else:
+            assert len(cuts) == k and buckets.worst(e, cuts) < 0.8 * even, how
+
+
+def test_too_few_or_too_many_points_are_errors(spark):
+    pts = partition.Points(np.arange(20), np.ones(20), np.arange(20) * 9, 200)
+    with pytest.raises(ValueError, match="raise the rate"):
+        partition.choose_cuts(pts, 7, "minimax")
+    df = spark.createDataFrame([(str(i), i, 1.0) for i in range(50)], "key string, p long, t double")
+    with pytest.raises(ValueError, match="lower the rate"):
+        partition.sample_points(df, "key", "p", "t", 0.9, most=10)
+    with pytest.raises(ValueError, match="lower the rate"):
+        buckets.BucketError(np.ones(buckets.MOST + 1), np.arange(buckets.MOST + 1)).table()
+
+
+def test_many_leaves_are_found_in_arrays(spark):
+    r = np.random.default_rng(5)
+    starts = sorted(set(r.integers(0, 5000, 300).tolist()))
+    df = spark.createDataFrame([(int(x), float(y)) for x, y in zip(r.integers(-10, 5100, 400), r.normal(size=400))], "p long, y double")
+    assert len(starts) > partition.NESTED
+    got = df.select("p", partition.by_cuts(F.col("p"), starts).alias("leaf")).collect()
+    assert all(x.leaf == max(0, sum(s <= x.p for s in starts) - 1) for x in got)
+    root = partition.median_tree(np.stack([r.integers(0, 5000, 3000), r.normal(size=3000)], axis=1).astype(float), r.gamma(1, 9, 3000), 400, "breadth")
+    some = df.collect()
+    found = [x.leaf for x in df.select(partition.by_tree(root, ["p", "y"]).alias("leaf")).collect()]
+    back = partition.Split.read(root.spec())
+    nested, partition.NESTED = partition.NESTED, 10**6
+    try:
+        assert found == [x.leaf for x in df.select(partition.by_tree(back, ["p", "y"]).alias("leaf")).collect()]
+    finally:
+        partition.NESTED = nested
+    assert len(set(found)) > 100 and len(some) == 400
+
+
+def test_medians_of_a_tree_are_those_of_all_rows(spark):
+    r = np.random.default_rng(6)
+    v, t = r.integers(0, 1000, (4000, 2)), r.gamma(1, 10, 4000)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in v], "x long, y long")
+    root = partition.exact_medians(df, ["x", "y"], partition.median_tree(v[:400].astype(float), t[:400], 30, scale=10.0))
+
+    def check(s, rows):
+        if s.children:
+            assert s.medians == [float(np.floor(np.median(rows[:, d]))) for d in (0, 1)]
+            for b, c in s.children.items():
+                check(c, rows[[all((x[d] > s.medians[d]) == bool(b >> d & 1) for d in (0, 1)) for x in rows]])
+
+    check(root, v)
+
+
 def test_one_value_cannot_be_split():
     assert len(partition.median_tree(np.zeros((50, 1)), np.ones(50), 8).leaves()) == 1
