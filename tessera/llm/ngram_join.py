@@ -11,14 +11,14 @@
    over stars of tokens and size classes). A set only has links inside its family.
 4. Each family is joined exactly. A large one is cut into bounded blocks by size class and hash,
    and a task gets one pair of blocks of compatible sizes. In a task the inverted lists are cut
-   into blocks by size class, and blocks of other sizes are skipped; the overlaps of a set are
-   derived from those of the set before it, which is similar: only the lists of the tokens that
-   differ are read. A task returns a row per set, never its pairs.
+   into blocks by size class, sorted by position, and what positions rule out is skipped; the answers
+   of a set are derived from those of a similar set (``FamilyJoin``). A task returns a row per set,
+   never its pairs.
 
 Defined results: a null or empty text has the empty set, no links, and its own id as component;
-a text of fewer words is one shingle; rows with equal sets are linked; an id may be null (its
-component is the smallest id reached, or null); an empty table gives no rows; further columns are
-ignored. Shingles are told apart by 64-bit hashes.
+a text of fewer words is one shingle; very long texts are read whole; rows with equal sets are linked;
+an id may be null (its component is the smallest id reached, or null); an empty table gives no rows;
+further columns are ignored. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ from tessera.llm.suffix import row_keys
 
 U64 = np.uint64
 HOT = 64
-FAMILY_TOKENS = 1_500_000  # tokens of a task's sets
+FAMILY_TOKENS = 200_000  # of a family that one task joins whole
+BLOCK_TOKENS = (100_000, 750_000)  # of a block of a larger family, which has about 32 blocks
 WHOLE = ":whole"  # ends the name of a task that has all of its family
 
 
@@ -82,6 +83,10 @@ class Threshold:
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - -(-self.num * size // self.den) + 1
 
+    def least(self, size: np.ndarray) -> np.ndarray:
+        """The smallest size of a set that can be linked with one of ``size``."""
+        return -(-self.num * size // self.den)
+
     def linked(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * overlap >= self.num * (a + b - overlap)
 
@@ -94,53 +99,139 @@ class Threshold:
 
 
 class FamilyJoin:
-    """The sets of one task, with overlaps of one set to all others."""
+    """The sets of one task, and the answers of each (the sets that it is linked with).
+
+    Tokens are numbered rare first, so that a set is a sorted array and a token has a position in it. The
+    index has the first tokens of each set; the list of a token is cut into blocks by size class, sorted by
+    position. Two sets whose first common token stands at positions i and j share no more tokens than
+    follow in either, so of a block a set reads the entries up to a position, and skips the rest.
+
+    A set that is read from the index is a leader: its lists are read for a lower overlap than a link
+    needs, low enough for every set linked with a set that is linked with the leader itself. The
+    answers of those sets, which are very similar, are then derived from the leader's overlaps: only
+    the lists of the tokens that differ are read.
+    """
 
     def __init__(self, sets: list[np.ndarray], at: Threshold):
         self.at = at
         self.size = np.array([len(s) for s in sets], dtype=np.int64)
-        self.band = at.band(self.size)
-        self.low = int(self.band.min(initial=0))
-        width = int(self.band.max(initial=0)) - self.low + 1
+        m = len(sets)
         flat = np.concatenate(sets) if sets else np.empty(0, U64)
-        _, token = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        cell = token * width + (self.band - self.low)[owner]  # lists cut into blocks by size class
-        order = np.argsort(cell, kind="stable")
-        self.posting, self.width = owner[order], width
-        self.ptr = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=(int(token.max(initial=-1)) + 1) * width))))
-        edges = np.concatenate(([0], np.cumsum(self.size)))
-        self.sets = [np.sort(token[edges[i] : edges[i + 1]]) for i in range(len(sets))]
-
-    def _read(self, tokens: np.ndarray, band: int) -> np.ndarray:
-        """How often each set is in the lists of ``tokens``; only the blocks of sizes near ``band``."""
-        m = len(self.sets)
-        lo, hi = max(0, band - self.low - 1), min(self.width, band - self.low + 2)
-        a, b = self.ptr[tokens * self.width + lo], self.ptr[tokens * self.width + hi]
-        counts = b - a
-        total = int(counts.sum())
-        if not total:
-            return np.zeros(m, dtype=np.int64)
-        at = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(a, counts)
-        return np.bincount(self.posting[at], minlength=m)
-
-    def answers(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, sets it is linked with), derived from set to similar set."""
-        order = np.lexsort(([s[0] if len(s) else -1 for s in self.sets], self.band))
-        last, overlap, band = None, None, None
-        for i in order.tolist():
-            mine = self.sets[i]
-            if last is not None and band == self.band[i]:
-                come = np.setdiff1d(mine, last, assume_unique=True)
-                go = np.setdiff1d(last, mine, assume_unique=True)
-            if last is None or band != self.band[i] or len(come) + len(go) >= len(mine):
-                overlap = self._read(mine, int(self.band[i]))
-            else:
-                overlap = overlap + self._read(come, int(self.band[i])) - self._read(go, int(self.band[i]))
-            last, band = mine, self.band[i]
-            near = np.flatnonzero((overlap > 0) & (np.abs(self.band - band) <= 1))
-            ok = near[self.at.linked(overlap[near], self.size[i], self.size[near])]
-            yield i, ok[ok != i]
+        _, named, often = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), dtype=np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        owner = np.repeat(np.arange(m), self.size)
+        token = rank[named]
+        order = np.lexsort((token, owner))
+        self.token = token[order]
+        self.edges = np.concatenate(([0], np.cumsum(self.size)))
+        place = np.arange(len(flat)) - self.edges[owner]
+        # whole lists, for tokens that differ
+        by_token = np.argsort(self.token, kind="stable")
+        self.holder = owner[by_token]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(self.token, minlength=len(often)))))
+        # the index
+        band = at.band(self.size)
+        self.low = int(band.min(initial=0))
+        self.width = int(band.max(initial=0)) - self.low + 1
+        self.largest = np.array([self.size[band == self.low + b].max(initial=0) for b in range(self.width)])
+        first = place <= self.size[owner] - self.reach(self.size, at.least(self.size))[owner]
+        cell = (self.token * self.width + (band - self.low)[owner])[first]
+        inside = np.lexsort((place[first], cell))
+        self.entry, self.place = owner[first][inside], place[first][inside]
+        self.block = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=len(often) * self.width))))
+        self.spot = np.full(m, -1, dtype=np.int64)
+        self.mine = np.zeros(len(often), dtype=bool)
+
+    def slack(self, size: np.ndarray) -> np.ndarray:
+        """The most tokens in which a set and one linked with it differ."""
+        return (self.at.den - self.at.num) * 2 * size // self.at.num + 1
+
+    def reach(self, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Overlap of a leader with every set that may be linked with a set linked with the leader. Such a set
+        differs in up to slack tokens, and has up to slack more."""
+        d = self.slack(size)
+        need = -(-(self.at.num * (size + other + d)) // (self.at.num + self.at.den)) - d
+        return np.maximum(need, 1)
+
+    def near(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets in reach of a leader, with their overlaps."""
+        size = int(self.size[x])
+        mine = self.token[self.edges[x] : self.edges[x + 1]]
+        bands = np.arange(self.width)
+        other = np.minimum(self.largest, size * self.at.den // self.at.num + self.slack(np.int64(size)) * 2)
+        smallest = np.ceil(((self.at.den / self.at.num) ** (bands + self.low)) - 1e-6).astype(np.int64)
+        need = self.reach(np.int64(size), np.minimum(smallest, self.largest))
+        use = np.flatnonzero((need <= self.largest) & (need <= size) & (self.largest > 0))
+        found = []
+        for b in use.tolist():
+            tokens = mine[: size - int(need[b]) + 1]
+            lo, hi = self.block[tokens * self.width + b], self.block[tokens * self.width + b + 1]
+            last = int(other[b]) - int(self.reach(np.int64(size), other[b]))  # the position up to which entries can matter
+            at = _ranges(lo, hi)
+            found.append(self.entry[at[self.place[at] <= last]] if last < int(self.largest[b]) else self.entry[at])
+        near = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        self.mine[mine] = True
+        overlap = np.empty(len(near), dtype=np.int64)
+        for i in range(0, len(near), 2000):
+            some = near[i : i + 2000]
+            held = self.mine[self.token[_ranges(self.edges[some], self.edges[some + 1])]]
+            overlap[i : i + 2000] = np.add.reduceat(held.astype(np.int64), np.concatenate(([0], np.cumsum(self.size[some])[:-1])))
+        self.mine[mine] = False
+        return near, overlap
+
+    def derive(self, leader: int, x: int, n: int) -> np.ndarray:
+        """What to add to the overlaps of the leader's ``n`` sets for those of ``x``."""
+        a, b = (self.token[self.edges[i] : self.edges[i + 1]] for i in (leader, x))
+        out = np.zeros(n, dtype=np.int64)
+        for tokens, sign in ((np.setdiff1d(b, a, assume_unique=True), 1), (np.setdiff1d(a, b, assume_unique=True), -1)):
+            at = self.spot[self.holder[_ranges(self.start[tokens], self.start[tokens + 1])]]
+            out += sign * np.bincount(at[at >= 0], minlength=n)
+        return out
+
+    def answers(self, asks: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, sets it is linked with) of every set, or of those in a mask."""
+        left = np.ones(len(self.size), dtype=bool) if asks is None else asks.copy()
+        for leader in np.argsort(-self.size, kind="stable").tolist():
+            if not left[leader]:
+                continue
+            near, overlap = self.near(leader)
+            linked = self.at.linked(overlap, self.size[leader], self.size[near])
+            self.spot[near] = np.arange(len(near))
+            for x in [leader, *near[linked & left[near] & (near != leader)].tolist()]:
+                mine = overlap if x == leader else overlap + self.derive(leader, x, len(near))
+                ok = near[self.at.linked(mine, self.size[x], self.size[near])]
+                left[x] = False
+                yield x, ok[ok != x]
+            self.spot[near] = -1
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers lo..hi - 1 of each pair, end to end."""
+    counts = hi - lo
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+
+
+class Groups:
+    """Sets that are linked, as labels: joined without a step per pair."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: list[np.ndarray | None] = [np.array([i]) for i in range(n)]
+
+    def join(self, x: int, others: np.ndarray) -> None:
+        found = self.label[others]
+        if len(found) == 0 or (found == self.label[x]).all():
+            return
+        parts = np.unique(np.append(found, self.label[x])).tolist()
+        keep = max(parts, key=lambda p: len(self.members[p]))
+        for p in parts:  # the smaller ones take the label of the largest
+            if p != keep:
+                self.label[self.members[p]] = keep
+        self.members[keep] = np.concatenate([self.members[p] for p in parts])
+        for p in parts:
+            if p != keep:
+                self.members[p] = None
 
 
 def _measure(docs: DataFrame, n: int, at: Threshold) -> DataFrame:
@@ -293,25 +384,16 @@ def _resolve(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Da
             sides = np.array([once[i][3] for i in ids])
             weights = np.array([once[i][1] for i in ids], dtype=np.int64)
             join = FamilyJoin([np.frombuffer(once[i][2], dtype=U64) for i in ids], at)
-            root, links = list(range(len(ids))), [0] * len(ids)
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
+            groups, links = Groups(len(ids)), np.zeros(len(ids), dtype=np.int64)
             cross = len(set(sides.tolist())) > 1
-            for i, near in join.answers():
+            for i, near in join.answers(sides == 0 if cross else None):
                 if cross:
-                    near = near[sides[near] != sides[i]]
-                links[i] = int(weights[near].sum())
-                for j in near[near < i].tolist():
-                    a, b = find(i), find(j)
-                    if a != b:
-                        root[a] = b
-            roots = [ids[find(i)] for i in range(len(ids))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(links, pa.int64()), pa.array([task.endswith(WHOLE)] * len(ids))], names=["sid", "lead", "n_links", "whole"])
+                    near = near[sides[near] == 1]
+                    links[near] += weights[i]
+                links[i] += int(weights[near].sum())
+                groups.join(i, near)
+            roots = [ids[i] for i in groups.label.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(links), pa.array([task.endswith(WHOLE)] * len(ids))], names=["sid", "lead", "n_links", "whole"])
 
         for b in batches:
             for row in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
@@ -376,8 +458,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 def _tasks(members: DataFrame, at: Threshold) -> DataFrame:
     """(task, sid, side): where each set of a large family is joined: a task for each pair of blocks of
     the same or neighbouring size classes."""
-    large = members.select("family", "sid", "n_shingles", at.band_column("n_shingles").alias("band"))
-    cells = large.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / F.lit(FAMILY_TOKENS // 2))).cast("int").alias("salts"))
+    large = members.select("family", "sid", "n_shingles", "total", at.band_column("n_shingles").alias("band"))
+    block = F.least(F.lit(BLOCK_TOKENS[1]), F.greatest(F.lit(BLOCK_TOKENS[0]), F.max("total") / 32))
+    cells = large.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / block)).cast("int").alias("salts"))
     up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
     under = cells.select("family", (F.col("band") + 1).alias("band"), F.col("salts").alias("below"))
     cells = cells.join(up, ["family", "band"], "left").join(under, ["family", "band"], "left")
