@@ -124,11 +124,12 @@ def anchors(rows: list[tuple[str, float, str, float]], threshold: float) -> dict
 
 
 def one_of(found: list[str]) -> str:
-    """Pattern of the words, by first character."""
+    """Pattern of the words, by first character, in a lower-case text after a space: it begins with what stands
+    before a word, which is found faster than by looking back from every character."""
     by: dict[str, list[str]] = {}
     for w in sorted(set(found)):
         by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
-    return "(?<![a-zA-Z0-9])(?iu:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-zA-Z0-9])"
+    return "[^a-z0-9](?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-z0-9])"
 
 
 # The conditions on words are long, and are SQL texts: these are built and parsed much faster than as Columns.
@@ -151,7 +152,7 @@ def may_match(text: str, found: dict[str, list[list[str]]]) -> str:
     are cut into words, once."""
     first = one_of([w for groups in found.values() for w in groups[0]])
     some = " OR ".join(every_group("held", groups) for groups in found.values())
-    return f"({text} RLIKE r'{first}' AND exists(array(array_distinct({words_of(text)})), held -> {some}))"
+    return f"(concat(' ', lower({text})) RLIKE r'{first}' AND exists(array(array_distinct({words_of(text)})), held -> {some}))"
 
 
 def header(text: Column) -> Column:
