@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -100,24 +101,27 @@ def reply_paths(said: DataFrame, best: int | None = None) -> DataFrame:
     here = edges.select("key", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     parents = edges.where("parent_id is not null").select("key", F.col("parent_id").alias("msg_id")).distinct()
     linked = edges.join(here, ["key", "parent_id"], "left").select("key", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.col("score").alias("total"))
-    # total: the sum of scores from a message to below ``up``, which is 2**round messages above it
-    jumps, left = [materialize(linked, "jump", edges.rows)], None
+    # total: the sum of scores from a message to below ``up``, which is 2**round messages above it; a round
+    # has the messages that still had one, so that a few long paths don't rewrite all others
+    rounds, left = [materialize(linked, "jump", edges.rows)], None
     while True:
-        now = jumps[-1].where("up is not null").count()
+        last = rounds[-1].where("up is not null")
+        now = last.count()
         if not now or now == left:  # a round that ends no message leaves only those of cycles
             break
-        left, last = now, jumps[-1]
-        above = last.select("key", F.col("msg_id").alias("up"), F.col("up").alias("top"), F.col("total").alias("more"))
-        further = last.join(above, ["key", "up"], "left").select("key", "msg_id", F.col("top").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
-        jumps.append(materialize(further, "jump", edges.rows))
-    ends = jumps[-1].where("up is null").join(parents, ["key", "msg_id"], "left_anti").select("key", F.col("msg_id").alias("leaf"), "total")
+        left, ended = now, [r.where("up is null") for r in rounds]
+        above = reduce(DataFrame.unionByName, ended, last).select("key", F.col("msg_id").alias("up"), F.col("up").alias("top"), F.col("total").alias("more"))
+        further = last.join(above, ["key", "up"]).select("key", "msg_id", F.col("top").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        rounds.append(materialize(further, "jump", now))
+    whole = reduce(DataFrame.unionByName, [r.where("up is null") for r in rounds])
+    ends = whole.join(parents, ["key", "msg_id"], "left_anti").select("key", F.col("msg_id").alias("leaf"), "total")
     if best is not None:
         order = Window.partitionBy("key").orderBy(F.desc("total"), "leaf")
         ends = ends.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
     paths = ends.select("key", "leaf", F.col("leaf").alias("msg_id"), F.lit(0).cast("long").alias("back"))
-    for round_ in reversed(range(len(jumps) - 1)):
+    for round_ in reversed(range(len(rounds) - 1)):
         at = materialize(paths, "paths")
-        jump = jumps[round_].where("up is not null").select("key", "msg_id", "up")
+        jump = rounds[round_].where("up is not null").select("key", "msg_id", "up")
         paths = at.unionByName(at.join(jump, ["key", "msg_id"]).select("key", "leaf", F.col("up").alias("msg_id"), (F.col("back") + (1 << round_)).alias("back")))
     return paths
 
