@@ -7,12 +7,16 @@ cut positions in the sample; bucket b holds samples cuts[b] .. cuts[b+1]-1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+from tessera.operators.cuts import Peaks
+
 LEAST = 3  # samples in a bucket, and in an interval whose variance counts
 
 
-MOST = 6000  # points of a search over all pairs of cuts: its table has their square
+MOST = 6000  # points up to which a search has a table of all pairs of cuts; beyond, errors are looked up as needed
 
 
 def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,25 +126,31 @@ def minimax_fast(error: BucketError, k: int) -> list[int] | None:
     m = error.m
     if k < 1 or LEAST * k > m:
         return None
-    cost = error.table()
+    cost = _costs(error)
     ends = np.arange(m + 1)
-    best, back = cost[0], []
+    best, back = cost(np.zeros(m + 1, dtype=int), ends), []
     for b in range(2, k + 1):
         lo, hi = np.full(m + 1, LEAST * (b - 1)), ends - LEAST
-        open_ = lo < hi
-        while open_.any():
-            mid = np.where(open_, (lo + hi) // 2, 0)
-            crossed = best[mid] >= cost[mid, ends]
-            hi, lo = np.where(open_ & crossed, mid, hi), np.where(open_ & ~crossed, mid + 1, lo)
-            open_ = lo < hi
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) // 2
+            crossed = best[mid] >= cost(mid, open_)
+            hi[open_], lo[open_] = np.where(crossed, mid, hi[open_]), np.where(crossed, lo[open_], mid + 1)
         tries = [np.clip(lo - 1, 0, m), np.clip(lo, 0, m)]
-        found = [np.maximum(best[j], cost[j, ends]) for j in tries]
+        found = [np.maximum(best[j], cost(j, ends)) for j in tries]
         left = found[0] < found[1]
         back.append(np.where(left, *tries))
         best = np.where(left, *found)
     return _unwind(back, m)
 
 
+def _costs(error: BucketError) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Errors by first sample and end, from a table or by look-up."""
+    if error.m > MOST:
+        return Peaks(error, LEAST).errors
+    table = error.table()
+    return lambda a, b: table[a, b]
+
+
 def _unwind(back: list[np.ndarray], m: int) -> list[int]:
     cuts, i = [], m
     for pointers in reversed(back):
