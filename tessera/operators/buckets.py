@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tessera.operators.cuts import Peaks
+from tessera.operators.cuts import Peaks, Search
 
 LEAST = 3  # samples in a bucket, and in an interval whose variance counts
 
@@ -108,9 +108,12 @@ def worst(error: BucketError, cuts: list[int]) -> float:
 
 def minimax(error: BucketError, k: int) -> list[int] | None:
     """Cuts of k buckets, each of ``LEAST`` samples or more, with the least largest error: dynamic
-    programming with back pointers. None if there are too few samples."""
+    programming with back pointers; beyond ``MOST`` samples a search that is as exact, whose cuts can
+    differ where several have that error. None if there are too few samples."""
     if k < 1 or LEAST * k > error.m:
         return None
+    if error.m > MOST:
+        return Search(Peaks(error, LEAST)).best(k, equal_depth(error.m, k))
     cost = error.table()
     best, back = cost[0], []
     for _ in range(2, k + 1):

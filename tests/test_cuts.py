@@ -39,3 +39,36 @@ def test_fast_search_takes_many_points():
     error = buckets.BucketError(pts.t, pts.pos)
     cuts = partition.choose_cuts(pts, 8, "minimax_fast")
     assert len(cuts) == 8 and buckets.worst(error, cuts) < buckets.worst(error, buckets.equal_depth(m, 8))
+
+
+def least_errors(monkeypatch, share, seeds):
+    for seed in seeds:
+        t, pos = samples(seed, 13 + 6 * seed)
+        error = buckets.BucketError(t, pos, share)
+        for k in (1, 2, 3, 5):
+            want = buckets.minimax(error, k)
+            with monkeypatch.context() as few:
+                few.setattr(buckets, "MOST", 10)
+                got = buckets.minimax(buckets.BucketError(t, pos, share), k)
+            if want is None:
+                assert got is None
+                continue
+            assert len(got) == k and all(b - a >= buckets.LEAST for a, b in zip(got, [*got[1:], len(t)]))
+            assert buckets.worst(error, got) == pytest.approx(buckets.worst(error, want), rel=1e-9, abs=1e-9)
+
+
+def test_search_without_a_table_has_the_least_error(monkeypatch):
+    least_errors(monkeypatch, 1.0, range(15))
+
+
+@pytest.mark.parametrize("values", ["even", "same", "heavy", "signed"])
+def test_search_takes_many_points(values):
+    m = buckets.MOST + 500
+    r = np.random.default_rng(6)
+    t = {"even": r.random(m), "same": np.ones(m), "heavy": r.pareto(1.2, m), "signed": r.normal(size=m)}[values]
+    pos = np.cumsum(r.integers(1, 100, m))
+    pts = partition.Points(np.arange(m), t, pos, int(pos[-1]) + 1)
+    error = buckets.BucketError(t, pos)
+    cuts, fast = partition.choose_cuts(pts, 8, "minimax"), partition.choose_cuts(pts, 8, "minimax_fast")
+    assert len(cuts) == 8 and buckets.worst(error, cuts) <= buckets.worst(error, fast) * (1 + 1e-9)
+    assert buckets.worst(error, cuts) < buckets.worst(error, buckets.equal_depth(m, 8))
