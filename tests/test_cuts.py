@@ -72,3 +72,23 @@ def test_search_takes_many_points(values):
     cuts, fast = partition.choose_cuts(pts, 8, "minimax"), partition.choose_cuts(pts, 8, "minimax_fast")
     assert len(cuts) == 8 and buckets.worst(error, cuts) <= buckets.worst(error, fast) * (1 + 1e-9)
     assert buckets.worst(error, cuts) < buckets.worst(error, buckets.equal_depth(m, 8))
+
+
+@pytest.mark.parametrize("share", [0.5, 0.1, 0.0])
+def test_search_by_a_share_of_the_intervals_has_the_least_error(monkeypatch, share):
+    least_errors(monkeypatch, share, range(0, 15, 2))
+
+
+@pytest.mark.parametrize("values", ["even", "heavy", "signed", "zeros"])
+def test_search_by_a_share_of_the_intervals_takes_many_points(values):
+    m = buckets.MOST + 500
+    r = np.random.default_rng(8)
+    t = {"even": r.random(m), "heavy": r.pareto(1.2, m), "signed": r.normal(size=m), "zeros": (r.random(m) < 0.01) * 5.0}[values]
+    pos = np.cumsum(r.integers(1, 100, m))
+    pts = partition.Points(np.arange(m), t, pos, int(pos[-1]) + 1)
+    cuts = partition.choose_cuts(pts, 8, "minimax_sampled")
+    some = buckets.BucketError(t, pos, 0.1)
+    peaks = Peaks(some, buckets.LEAST)
+    assert len(cuts) == 8 and buckets.worst(some, cuts) < buckets.worst(some, buckets.equal_depth(m, 8))
+    ends = np.array([*cuts[1:], m])
+    assert peaks.errors(np.array(cuts), ends) == pytest.approx([some(a, b - 1) for a, b in zip(cuts, ends, strict=True)], rel=1e-9)
