@@ -16,7 +16,7 @@ from tessera.operators.cuts import Peaks, Search
 LEAST = 3  # samples in a bucket, and in an interval whose variance counts
 
 
-MOST = 6000  # points up to which a search has a table of all pairs of cuts; beyond, errors are looked up as needed
+MOST = 3000  # points up to which a search has a table of all pairs of cuts; beyond, errors are looked up as needed
 
 
 def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
@@ -88,7 +88,7 @@ class BucketError:
     def table(self) -> np.ndarray:
         """Error of the bucket of samples j..i-1 at [j, i]; infinite for less than ``LEAST`` samples."""
         if self.m > MOST:
-            raise ValueError(f"{self.m} points; a search over all cuts takes {MOST} at most: lower the rate of points")
+            raise ValueError(f"{self.m} points; a table of all cuts takes {MOST} at most: search without one, or lower the rate of points")
         out = np.full((self.m + 1, self.m + 1), np.inf)
         flat = out.ravel()
         for n in range(LEAST, self.m + 1):
