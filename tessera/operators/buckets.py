@@ -136,22 +136,23 @@ def minimax_fast(error: BucketError, k: int) -> list[int] | None:
         lo, hi = np.full(m + 1, LEAST * (b - 1)), ends - LEAST
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
-            crossed = best[mid] >= cost(mid, open_)
+            left = best[mid]
+            crossed = left >= cost(mid, open_, lambda low, high: (low <= left) & (high > left))  # noqa: B023
             hi[open_], lo[open_] = np.where(crossed, mid, hi[open_]), np.where(crossed, lo[open_], mid + 1)
         tries = [np.clip(lo - 1, 0, m), np.clip(lo, 0, m)]
-        found = [np.maximum(best[j], cost(j, ends)) for j in tries]
+        found = [np.maximum(best[j], cost(j, ends, lambda _, high: high > best[j])) for j in tries]  # noqa: B023
         left = found[0] < found[1]
         back.append(np.where(left, *tries))
         best = np.where(left, *found)
     return _unwind(back, m)
 
 
-def _costs(error: BucketError) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Errors by first sample and end, from a table or by look-up."""
+def _costs(error: BucketError) -> Callable[..., np.ndarray]:
+    """Errors by first sample and end, from a table or by look-up (exact where wanted)."""
     if error.m > MOST:
         return Peaks(error, LEAST).errors
     table = error.table()
-    return lambda a, b: table[a, b]
+    return lambda a, b, wanted=None: table[a, b]
 
 
 def _unwind(back: list[np.ndarray], m: int) -> list[int]:
